@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_filter
+from . import bpe, decontaminate, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
+    "op8_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op10_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op7_bpe": lambda spark, d: bpe.round_trip_digests(table(spark, d, "documents")),
 }
 

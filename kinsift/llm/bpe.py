@@ -26,12 +26,14 @@ from tokenizers import Tokenizer
 from .common import map_batches
 
 NONE = np.int64(2**62)
+#: Odd multiplier of the table of pairs.
+SPREAD = np.int64(0x1E3779B97F4A7C15)
 #: Wider words are merged one by one.
 WIDEST = 64
 #: From here on, versions of Unicode differ about letters, marks and their order.
 FAR_LETTERS = "\u0250"
-#: Cached words of a Python worker, and their longest length.
-CACHED, CACHED_LENGTH = 1 << 17, 48
+#: Cached words of a Python worker's younger and older half, and their longest length.
+CACHED, CACHED_LENGTH = 250_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -68,66 +70,83 @@ class Bpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ranks[vocab[a] * self.base + vocab[b]] = (rank, vocab[a + b])
-        self.keys = np.array(sorted(ranks), np.int64)
-        self.rank = np.array([ranks[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.zeros(1 + max(self.rank, default=0), np.int64)
-        self.merged[self.rank] = [ranks[k][1] for k in self.keys.tolist()]
+        self.merged = np.zeros(1 + max((r for r, _ in ranks.values()), default=0), np.int64)
+        self.table_bits = max(4, (4 * len(ranks)).bit_length())
+        self.table_keys, self.table_ranks = np.full(1 << self.table_bits, -1, np.int64), np.zeros(1 << self.table_bits, np.int64)
+        for key, (rank, new) in ranks.items():
+            self.merged[rank] = new
+            at = (key * int(SPREAD) % 2**64) >> (64 - self.table_bits)
+            while self.table_keys[at] >= 0:
+                at = (at + 1) % len(self.table_keys)
+            self.table_keys[at], self.table_ranks[at] = key, rank
         self.one = {k: v[0] for k, v in ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_of = {c: b for b, c in enumerate(characters)}
         stages = Tokenizer.from_file(path)
         self.normal, self.pre = stages.normalizer, stages.pre_tokenizer
 
-    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def ranks_of(self, a: np.ndarray, b: np.ndarray, width: int, slot: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs (a, b) in the slots; b is -1 where a is the last symbol."""
         key = a * self.base + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], NONE)
+        at = (key * SPREAD).view(np.uint64) >> np.uint64(64 - self.table_bits)
+        out = np.full(len(key), NONE, np.int64)
+        open_ = np.flatnonzero(b >= 0)
+        while len(open_):  # linear probing
+            seen = self.table_keys[at[open_]]
+            hit = open_[seen == key[open_]]
+            out[hit] = self.table_ranks[at[hit]] * width + slot[hit]
+            open_ = open_[(seen != key[open_]) & (seen >= 0)]
+            at[open_] = (at[open_] + np.uint64(1)) & np.uint64(len(self.table_keys) - 1)
+        return out
 
-    def merge_together(self, words: list[np.ndarray], width: int) -> list[np.ndarray]:
-        """All words of at most `width` symbols, by one segment tree each."""
-        n = len(words)
-        ids = np.full((n, width + 1), -1, np.int64)
-        size = np.array([len(w) for w in words])
+    def merge_together(self, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """All words of at most `width` symbols, by one segment tree each: their ids on end, and how many each has."""
+        n = len(size)
         inside = np.arange(width + 1) < size[:, None]
-        ids[inside] = np.concatenate(words)
-        nxt = np.broadcast_to(np.arange(1, width + 2), ids.shape).copy()
-        prv = np.broadcast_to(np.arange(-1, width), ids.shape).copy()
-        tree = np.full((n, 2 * width), NONE, np.int64)
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[inside] = start
         pair = inside[:, 1:] & inside[:, :-1]
-        rank = np.full((n, width), NONE, np.int64)
-        rank[pair] = self.ranks_of(ids[:, :-1][pair], ids[:, 1:][pair])
-        tree[:, width:] = np.where(rank < NONE, rank * width + np.arange(width), NONE)
+        tree = np.full((n, 2 * width), NONE, np.int64)
+        tree[:, width:][pair] = self.ranks_of(ids[:, :-1][pair], ids[:, 1:][pair], width, np.nonzero(pair)[1])
         level = width
         while level > 1:
             level //= 2
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        nxt = np.broadcast_to(np.arange(1, width + 2), ids.shape).flatten()
+        prv = np.broadcast_to(np.arange(-1, width), ids.shape).flatten()
+        flat, node = ids.ravel(), tree.ravel()
 
-        def put(rows: np.ndarray, slots: np.ndarray, ranks: np.ndarray) -> None:
+        def put(trees: np.ndarray, slots: np.ndarray, leaves: np.ndarray) -> None:
             at = slots + width
-            tree[rows, at] = np.where(ranks < NONE, ranks * width + slots, NONE)
-            while at[0] > 1:
-                at = at >> 1
-                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
-
-        live = np.flatnonzero(tree[:, 1] < NONE)
-        while len(live):
-            root = tree[live, 1]
+            node[trees + at] = leaves
+            below = width
+            while below > 1:
+                at >>= 1
+                below >>= 1
+                child = trees + 2 * at
+                node[trees + at] = np.minimum(node[child], node[child + 1])
+
+        row = np.arange(n)
+        row = row[node[row * (2 * width) + 1] < NONE]
+        while len(row):
+            trees, slots = row * (2 * width), row * (width + 1)
+            root = node[trees + 1]
             slot, new = root % width, self.merged[root // width]
-            gone = nxt[live, slot]
-            after = nxt[live, gone]
-            ids[live, slot], ids[live, gone], nxt[live, slot] = new, -1, after
-            prv[live, np.minimum(after, width)] = slot
-            put(live, gone, np.full(len(live), NONE))
-            right = ids[live, np.minimum(after, width)]
-            put(live, slot, np.where((after < width) & (right >= 0), self.ranks_of(new, np.maximum(right, 0)), NONE))
-            before = prv[live, slot]
-            has = before >= 0
-            if has.any():
-                rows, b = live[has], before[has]
-                put(rows, b, self.ranks_of(ids[rows, b], new[has]))
-            live = live[tree[live, 1] < NONE]
+            gone = nxt[slots + slot]
+            after = nxt[slots + gone]
+            flat[slots + slot], flat[slots + gone], nxt[slots + slot], prv[slots + after] = new, -1, after, slot
+            put(trees, gone, np.full(len(row), NONE))
+            put(trees, slot, self.ranks_of(new, flat[slots + after], width, slot))  # past the end stands -1
+            before = prv[slots + slot]
+            has = np.flatnonzero(before >= 0)
+            if len(has):
+                b = before[has]
+                put(trees[has], b, self.ranks_of(flat[slots[has] + b], new[has], width, b))
+            row = row[node[trees + 1] < NONE]
+        ids = flat.reshape(n, width + 1)
         kept = ids >= 0
-        return np.split(ids[kept], np.cumsum(kept.sum(1))[:-1])
+        return ids[kept], kept.sum(1)
 
     def merge_alone(self, word: np.ndarray) -> np.ndarray:
         """One word of any length by the same tree, in logarithmic time a merge."""
@@ -165,28 +184,32 @@ class Bpe:
                 put(prv[i], leaf(prv[i]))
         return np.array([x for x in ids if x >= 0], np.int64)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of byte words, each by its own tree."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of byte words, each by its own tree, as little-endian 32-bit integers."""
+        out = [b""] * len(words)
         groups: dict[int, list[int]] = {}
-        start = []
         for i, w in enumerate(words):
-            b = np.frombuffer(w, np.uint8)
-            s = self.inner[b]
-            s[-1] = self.last[b[-1]]
-            start.append(s)
             groups.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, members in groups.items():
+            raw = np.frombuffer(b"".join([words[i] for i in members]), np.uint8)
+            ends = np.cumsum([len(words[i]) for i in members])
+            start = self.inner[raw]
+            start[ends - 1] = self.last[raw[ends - 1]]
             if width > WIDEST:
-                for i in members:
-                    out[i] = self.merge_alone(start[i])
+                for i, ids in zip(members, np.split(start, ends[:-1]), strict=True):
+                    out[i] = self.merge_alone(ids).astype("<u4").tobytes()
             else:
-                for i, ids in zip(members, self.merge_together([start[i] for i in members], width), strict=True):
-                    out[i] = ids
+                ids, count = self.merge_together(start, np.diff(ends, prepend=0), width)
+                flat, at = ids.astype("<u4").tobytes(), 0
+                for i, n in zip(members, (4 * count).tolist(), strict=True):
+                    out[i] = flat[at : at + n]
+                    at += n
         return out
 
     def split(self, piece: str) -> list[str | int]:
         """Byte words of a piece of text, and ids of the special tokens in it."""
+        if piece.isalpha() and max(piece) < FAR_LETTERS:
+            return [(piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()]
         out: list[str | int] = []
         for k, part in enumerate(self.special_pattern.split(piece) if self.special_pattern else [piece]):
             if k % 2:
@@ -200,16 +223,22 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.cache
-        if len(known) > CACHED:
-            known.clear()
-        new = {p for pieces in cut for p in pieces if p not in known}
-        parts = {p: self.split(p) for p in new}
-        words = list({w for ws in parts.values() for w in ws if isinstance(w, str)})
-        ids = dict(zip(words, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in words])), strict=True))
+        if len(self.cache) > CACHED:
+            self.older, self.cache = self.cache, {}
+        known, older = self.cache, self.older
+        parts = {}
+        for p in set().union(*cut).difference(known) if cut else ():
+            if (ids := older.get(p)) is None:
+                parts[p] = self.split(p)
+            else:
+                known[p] = ids
+        # A word of letters is a piece of its own too.
+        ids = {w: known.get(w) if w.isalpha() else None for ws in parts.values() for w in ws if isinstance(w, str)}
+        words = [w for w, x in ids.items() if x is None]
+        ids |= zip(words, self.merge([w.encode() for w in words]), strict=True)
         rare = {}
         for p, ws in parts.items():
-            (known if len(p) <= CACHED_LENGTH and len(known) < 2 * CACHED else rare)[p] = b"".join(ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws)
+            (known if len(p) <= CACHED_LENGTH else rare)[p] = ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
         if rare:
             return [np.frombuffer(b"".join([x if (x := known.get(p)) is not None else rare[p] for p in pieces]), "<u4") for pieces in cut]
         return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]

@@ -209,7 +209,9 @@ class Bpe:
     def split(self, piece: str) -> list[str | int]:
         """Byte words of a piece of text, and ids of the special tokens in it."""
         if piece.isalpha() and max(piece) < FAR_LETTERS:
-            return [(piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()]
+            word = (piece if piece.isascii() else unicodedata.normalize("NFC", piece)).lower()
+            if word.isalpha():  # a letter's lower case may hold a mark
+                return [word]
         out: list[str | int] = []
         for k, part in enumerate(self.special_pattern.split(piece) if self.special_pattern else [piece]):
             if k % 2:

@@ -89,26 +89,29 @@ def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return occurrences.join(repeated, "key").filter("near or place != first").select("place")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of `docs` with what is left of their texts, and n_lines and n_kept (blank lines count in neither).
-    Columns of these names in `docs` are replaced."""
+def judged(docs: DataFrame, min_chars: int) -> DataFrame:
+    """The rows of `docs` with what is left of their texts, and __n_lines and __n_kept; blank lines count in neither."""
     gone = dropped(docs, min_chars).groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.pos").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
-    own = docs.drop("n_lines", "n_kept")
-    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     n = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0))
     return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in own.columns],
-        n.cast("long").alias("n_lines"),
-        (n - F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("n_kept"),
+        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        n.cast("long").alias("__n_lines"),
+        (n - F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("__n_kept"),
     )
 
 
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of `docs` with what is left of their texts, and n_lines and n_kept in place of columns of these names."""
+    return judged(docs.drop("n_lines", "n_kept"), min_chars).withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
+
+
 def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of `docs` with the columns they had; n_chars is that of what is left. Documents that had lines and kept none go."""
-    rest = deduplicated(docs, min_chars).filter("n_kept > 0 or n_lines = 0")
+    rest = judged(docs, min_chars).filter("__n_kept > 0 or __n_lines = 0")
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rest.select(*docs.columns)

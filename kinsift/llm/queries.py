@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, linededup, simhash, url_filter
+from . import bpe, decontaminate, langid, licenses, linededup, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": lambda spark, d: linededup.deduplicated(table(spark, d, "documents")).select("doc_id", "n_lines", "n_kept", "text"),
     "op2_url_filter": lambda spark, d: url_filter.judge(table(spark, d, "pages")),
     "op8_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op9_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op7_bpe": lambda spark, d: bpe.round_trip_digests(table(spark, d, "documents")),
 }

@@ -15,8 +15,8 @@ character. What is earlier need not itself be kept: each of a chain of lines an
 4. The texts of the pairs so found are compared by edit distance.
 
 Defined results: a null text has no lines and stays null; blank lines are kept and never compared. A document whose
-lines are all kept keeps its text as it was. Rows that repeat an id are one document each, told apart by their text; of rows
-that are equal in both, the lines of the one are those of the other, and both are treated alike. A null id sorts last.
+lines are all kept keeps its text as it was. Rows that repeat an id are one document each, told apart by a hash of
+their text; of rows that are equal in both, the lines of the one are those of the other, and both are treated alike. A null id sorts first.
 An empty table gives an empty table.
 """
 
@@ -25,22 +25,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 MIN_CHARS = 16
 BLANKS = " \t\r"
 
 
+def trimmed(line: Column) -> Column:
+    """Without blanks at its ends; lines that have none there, nearly all, aren't copied."""
+    some = F.lit(False)
+    for c in BLANKS:
+        some = some | line.startswith(c) | line.endswith(c)
+    return F.when(some, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def places(docs: DataFrame) -> DataFrame:
-    """(place, line): the lines that are compared, each with where it stands: document, then line."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "pos").alias("place"), F.btrim("raw", F.lit(BLANKS)).alias("line"))
-    return rows.filter("line != ''")
+    """(place, line): the lines that are compared, each with where it stands: the document's id, then a hash of its text that
+    tells rows of one id apart, and the line's number."""
+    rows = docs.select("doc_id", F.hash("text").cast("long").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "raw"))
+    at = F.shiftleft("text_hash", 32) + F.col("pos")
+    return rows.select(F.struct("doc_id", at.alias("at")).alias("place"), trimmed(F.col("raw")).alias("line")).filter("line != ''")
 
 
-def hashed(line: Column) -> Column:
-    """Two hashes and the length stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"), F.char_length(line).alias("n"))
+def hashed(line: Column) -> list[Column]:
+    """Two hashes, of 96 bits, stand for a line."""
+    return [F.xxhash64(line).alias("a"), F.hash(line).alias("b")]
 
 
 def half_keys(line: Column, n: Column) -> Column:
@@ -51,13 +61,21 @@ def half_keys(line: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
-    """(line, earlier): distinct lines, as hashes, with an earlier line within one edit."""
-    long = places(docs).filter(F.char_length("line") >= min_chars).select(hashed(F.col("line")).alias("key"), "line")
-    halves = long.select("key", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("half")
-    some = halves.join(shared, "half", "left_semi").select("key").distinct()
-    lines = cut(long.join(some, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")).join(firsts, "key").select("key", "place", "line"))
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(a, b, place, times, halves): each distinct line with its earliest place; halves only of lines that bear an edit."""
+    n = F.char_length("line")
+    rows = places(docs).select("place", *hashed(F.col("line")), F.when(n >= min_chars, half_keys(F.col("line"), n)).alias("halves"))
+    return written(rows.groupBy("a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct-lines")
+
+
+def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, earlier): distinct lines, as hashes, with an earlier line within one edit."""
+    halves = firsts.select("a", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least != most").select("half")
+    some = halves.join(shared, "half", "left_semi").select("a").distinct()
+    some = cut(firsts.join(some, "a", "left_semi").select("a", "b", "place"))
+    texts = places(docs).select("line", *hashed(F.col("line"))).join(some.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
+    lines = cut(texts.join(some, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
 
     n = F.char_length("line")
     variant = lambda i: F.struct(i.alias("left_out"), F.xxhash64(F.concat(F.left("line", i - 1), F.substr("line", i + 1))).alias("variant"))
@@ -81,22 +99,22 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
 
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(place): every line that gives way to an earlier one."""
-    occurrences = places(docs).select("place", hashed(F.col("line")).alias("key"))
-    firsts = cut(occurrences.groupBy("key").agg(F.min("place").alias("place"), F.max("place").alias("last")))
-    gone = near_pairs(docs, firsts.select("key", "place"), min_chars).select("key").distinct().withColumn("near", F.lit(True))
+    firsts = distinct_lines(docs, min_chars)
+    gone = near_pairs(docs, firsts).select("key.a", "key.b").distinct().withColumn("near", F.lit(True))
     # Lines that occur once and have no neighbour need no second look.
-    repeated = firsts.join(gone, "key", "left").filter("near or place != last").select("key", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return occurrences.join(repeated, "key").filter("near or place != first").select("place")
+    repeated = firsts.select("a", "b", F.col("place").alias("first"), "times").join(gone, ["a", "b"], "left").filter("near or times > 1")
+    repeated = repeated.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    return places(docs).select("place", *hashed(F.col("line"))).join(repeated, ["a", "b"]).filter("near or not (place <=> first)").select("place")
 
 
 def judged(docs: DataFrame, min_chars: int) -> DataFrame:
     """The rows of `docs` with what is left of their texts, and __n_lines and __n_kept; blank lines count in neither."""
-    gone = dropped(docs, min_chars).groupBy("place.doc_id", "place.text_hash").agg(F.collect_set("place.pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    gone = dropped(docs, min_chars).select(F.col("place.doc_id").alias("__id"), F.shiftright("place.at", 32).cast("int").alias("__hash"), F.col("place.at").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int").alias("pos"))
+    gone = gone.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__hash")), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    n = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != "")), F.lit(0))
+    n = F.coalesce(F.size(F.filter(lines, lambda x: trimmed(x) != "")), F.lit(0))
     return joined.select(
         *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns],
         n.cast("long").alias("__n_lines"),

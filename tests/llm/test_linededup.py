@@ -50,10 +50,10 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, n_chars int, n_lines string")
     got = {r.doc_id: r for r in L.deduplicated(docs).collect()}
     assert len(got) == 9 and got[3].text is None and got[3].n_lines == 0
-    assert got[2].text == "a\r\n\n  \nb\n" and got[4].text == "\nc" and got[7].text == "" and got[7].n_kept == 0
-    assert got[6].n_kept == 0 and got[5].n_kept == 1 and got[None].text == "new" and got[8].text == "same"
+    assert got[2].text == "a\r\n\n  \nb\n" and got[7].text == "" and got[7].n_kept == 0
+    assert got[6].n_kept == 0 and got[5].n_kept == 1 and got[None].text == "c\nnew" and got[4].text == "" and got[8].text == "same"
     rest = {r.doc_id: r for r in L.without_repeats(docs).collect()}
-    assert set(rest) == {3, 1, 2, 4, 5, None, 8} and rest[4].n_chars == 2 and rest[4].n_lines == "k"
+    assert set(rest) == {3, 1, 2, 5, None, 8} and rest[8].n_chars == 4 and rest[8].n_lines == "k"
 
 
 def test_repeated_ids_and_empty(spark):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hnsw, html_text, langid, licenses, linededup, simhash, url_filter
+from . import bpe, decontaminate, hnsw, html_text, langid, licenses, linededup, simhash, store, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": lambda spark, d: licenses.digest(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: simhash.near_duplicates(table(spark, d, "documents")),
     "op4_html_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
+    "op5_token_store": lambda spark, d: store.stored_and_read(table(spark, d, "documents")),
     "op6_hnsw": lambda spark, d: hnsw.search_query(table(spark, d, "embeddings")),
     "op7_bpe": lambda spark, d: bpe.round_trip_digests(table(spark, d, "documents")),
 }

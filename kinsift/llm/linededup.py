@@ -9,9 +9,11 @@ character. What is earlier need not itself be kept: each of a chain of lines an
 2. Lines within one edit of each other agree on the first or on the last half of their characters (of length // 2 or
    (length - 1) // 2). Distinct lines are grouped by hashes of these halves; a line that shares none of them with another
    can't have a neighbour. That loses none, and leaves few lines.
-3. Those emit their deletion neighbourhood: themselves and every variant with one character left out, as hashed keys.
-   Lines of an equal variant that left out the same place differ in one replaced character; a line that equals another's
-   variant lacks one character of it. Each line meets only the earliest line of each such group, not all of its pairs.
+3. The same again, finer, for those: of 16 segments, two lines within one edit agree outside one. Those that share all but a
+   segment with another emit the deletion neighbourhood of that segment: itself and every variant with one character left
+   out, as keys hashed with what is outside. Lines of an equal variant that left out the same place differ in one replaced
+   character; a line that equals another's variant lacks one character of it. Each line meets only the earliest line of
+   each such group, not all of its pairs.
 4. The texts of the pairs so found are compared by edit distance.
 
 Defined results: a null text has no lines and stays null; blank lines are kept and never compared. A document whose
@@ -29,6 +31,10 @@ from .common import cut, written
 
 MIN_CHARS = 16
 BLANKS = " \t\r"
+#: Parts of a line, outside one of which two lines within an edit agree; the mark of a variant of the longer of two lines.
+SEGMENTS, LONGER = 16, -1
+#: Rows of hashes and places that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def trimmed(line: Column) -> Column:
@@ -68,29 +74,56 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return written(rows.groupBy("a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct-lines")
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it is counted to have at most BROADCAST_ROWS rows of a few numbers; else it is shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """(key, place, longer, middle, segment): of each line, all but one segment hashed, for each segment. Segments are those of
+    n characters, n being the line's own length or, for its part as the longer of two lines, one less. Lines within an edit
+    share the hash of what is outside the edit's segment."""
+    own = F.char_length("line")
+    each = lines.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("longer"))
+    each = each.withColumn("n", F.when(F.col("longer"), own - 1).otherwise(own)).select("*", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("j"))
+    each = each.withColumns({"from": F.expr(f"cast(cast(j as long) * n div {SEGMENTS} as int)"), "rest": F.expr(f"cast(n - (cast(j as long) + 1) * n div {SEGMENTS} as int)")})
+    return each.select(
+        "key",
+        "place",
+        "longer",
+        F.substr("line", F.col("from") + 1, own - F.col("from") - F.col("rest")).alias("middle"),
+        F.xxhash64("n", "j", F.left("line", "from"), F.right("line", "rest")).alias("segment"),
+    )
+
+
 def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key, earlier): distinct lines, as hashes, with an earlier line within one edit."""
     halves = firsts.select("a", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least != most").select("half")
-    some = halves.join(shared, "half", "left_semi").select("a").distinct()
-    some = cut(firsts.join(some, "a", "left_semi").select("a", "b", "place"))
-    texts = places(docs).select("line", *hashed(F.col("line"))).join(some.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
-    lines = cut(texts.join(some, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
-
-    n = F.char_length("line")
-    variant = lambda i: F.struct(i.alias("left_out"), F.xxhash64(F.concat(F.left("line", i - 1), F.substr("line", i + 1))).alias("variant"))
-    itself = F.array(F.struct(F.lit(0).alias("left_out"), F.xxhash64("line").alias("variant")))
-    emitted = lines.select("key", "place", F.explode(F.concat(itself, F.transform(F.sequence(F.lit(1), n), variant))).alias("v")).select("key", "place", "v.*")
+    some = sized(halves.join(shared, "half", "left_semi").select("a").distinct())
+    places_of = firsts.join(some, "a", "left_semi").select("a", "b", "place")
+    texts = places(docs).filter(F.char_length("line") > 0).select("line", *hashed(F.col("line"))).join(some, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
+    lines = cut(texts.join(places_of, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
+
+    pieces = segments(lines)
+    met = sized(pieces.groupBy("segment").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("segment"))
+    pieces = pieces.join(met, "segment", "left_semi")
+    n = F.char_length("middle")
+    variant = lambda i: F.struct(F.when(F.col("longer"), F.lit(LONGER)).otherwise(i).alias("left_out"), F.xxhash64("segment", F.concat(F.left("middle", i - 1), F.substr("middle", i + 1, n))).alias("variant"))
+    itself = F.when(~F.col("longer"), F.array(F.struct(F.lit(0).alias("left_out"), F.xxhash64("segment", "middle").alias("variant")))).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
+    without = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), variant)).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
+    emitted = cut(pieces.select("key", "place", F.explode(F.concat(itself, without)).alias("v")).select("key", "place", "v.*").distinct())
     member = F.struct("place", "key")
     # A replaced character: the same place left out.
     replaced = emitted.filter("left_out > 0").groupBy("variant", "left_out").agg(F.min(member).alias("one"), F.max(member).alias("other")).filter("one != other")
     by_replacing = emitted.join(replaced.select("variant", "left_out", "one"), ["variant", "left_out"]).select("key", "place", "one")
     # A missing character: one line is the variant itself. The earliest of the longer ones, and the line itself, speak for all.
     whole = emitted.filter("left_out = 0").groupBy("variant").agg(F.min(member).alias("whole"))
-    longer = emitted.filter("left_out > 0").groupBy("variant").agg(F.min(member).alias("longer"))
+    longer = emitted.filter(F.col("left_out") == LONGER).groupBy("variant").agg(F.min(member).alias("longer"))
     both = whole.join(longer, "variant")
     shorter_goes = both.select(F.col("whole.key").alias("key"), F.col("whole.place").alias("place"), F.col("longer").alias("one"))
-    longer_go = emitted.filter("left_out > 0").join(both.select("variant", F.col("whole").alias("one")), "variant").select("key", "place", "one")
+    longer_go = emitted.filter(F.col("left_out") == LONGER).join(both.select("variant", F.col("whole").alias("one")), "variant").select("key", "place", "one")
     found = by_replacing.unionByName(shorter_goes).unionByName(longer_go).filter("one.place < place").select("key", F.col("one.key").alias("earlier")).distinct()
     text = lambda as_: lines.select(F.col("key").alias(as_), F.col("line").alias(f"{as_}_line"))
     verified = found.join(text("key"), "key").join(text("earlier"), "earlier").filter((F.levenshtein("key_line", "earlier_line", 1) >= 0) & (F.col("key_line") != F.col("earlier_line")))
@@ -100,10 +133,10 @@ def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(place): every line that gives way to an earlier one."""
     firsts = distinct_lines(docs, min_chars)
-    gone = near_pairs(docs, firsts).select("key.a", "key.b").distinct().withColumn("near", F.lit(True))
+    gone = sized(near_pairs(docs, firsts).select("key.a", "key.b").distinct().withColumn("near", F.lit(True)))
     # Lines that occur once and have no neighbour need no second look.
     repeated = firsts.select("a", "b", F.col("place").alias("first"), "times").join(gone, ["a", "b"], "left").filter("near or times > 1")
-    repeated = repeated.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    repeated = sized(repeated.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
     return places(docs).select("place", *hashed(F.col("line"))).join(repeated, ["a", "b"]).filter("near or not (place <=> first)").select("place")
 
 

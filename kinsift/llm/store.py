@@ -23,6 +23,7 @@ of ids and their root; a null id comes first. An empty table makes an empty stor
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .bpe import CACHED, CACHED_LENGTH, default_tokenizer
+from .bpe import CACHED, CACHED_LENGTH, FAR_LETTERS, default_tokenizer
 from .common import bounded_batches, shared_folder
 
 END_ID = 1
@@ -49,7 +50,8 @@ CRC = 0xEDB88320
 
 class Encoder:
     """The library's ids of whole texts. White space is dropped by the tokenizer and ends words, so the library is asked once
-    for each piece between blanks or line feeds, and the answers are kept."""
+    for each piece between blanks or line feeds, and the answers are kept. New words of letters are asked for together, and a
+    comma or full stop behind one is a word of its own."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -57,20 +59,50 @@ class Encoder:
         self.library.no_padding()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        end = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(end)]] = True
+        self.marks = {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHED:
             self.older, self.cache = self.cache, {"": b""}
         known, older = self.cache, self.older
-        new = []
+        words: dict[str, str] = {}  # pieces of one word of letters, and what is looked up for them
+        odd = []
         for p in set().union(*cut).difference(known) if cut else ():
-            if (ids := older.get(p)) is None:
-                new.append(p)
-            else:
+            if (ids := older.get(p)) is not None:
                 known[p] = ids
+                continue
+            core = p[:-1] if p[-1] in ",." else p
+            if core.isalpha() and max(core) < FAR_LETTERS and (word := core.lower()).isalpha():
+                words[p] = word
+            else:
+                odd.append(p)
+        bare = {w: known[w] if w in known else older.get(w) for w in words.values()}
+        unknown = [w for w, ids in bare.items() if ids is None]
+        for i in range(0, len(unknown), 4096):
+            part = unknown[i : i + 4096]
+            # Each word of letters gets one token that ends a word, its last.
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a word of letters isn't one word to the tokenizer")
+            flat, start = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist(), strict=True):
+                bare[w] = flat[start:end]
+                start = end
         rare = {}
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        for p, w in words.items():
+            ids = bare[w]
+            if len(p) <= CACHED_LENGTH:
+                known[w] = ids
+                known[p] = ids if p[-1] not in ",." else ids + self.marks[p[-1]]
+            else:
+                rare[p] = ids if p[-1] not in ",." else ids + self.marks[p[-1]]
+        for p, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             (known if len(p) <= CACHED_LENGTH else rare)[p] = np.array(e.ids, "<u4").tobytes()
         if rare:
             return [np.frombuffer(b"".join([x if (x := known.get(p)) is not None else rare[p] for p in pieces]), "<u4") for pieces in cut]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.classify import classify
@@ -11,7 +12,7 @@ from ..operators.pairs import side, signals_of
 
 def verdict_stream(arriving: DataFrame, known: DataFrame) -> DataFrame:
     """(id_a, id_b, signals, verdict, ...) of each arriving chunk against each known one: a stream joined to a table."""
-    return classify(signals_of(side(arriving, "a").join(side(known, "b"), side(arriving, "a")["id_a"] != side(known, "b")["id_b"])))
+    return classify(signals_of(side(arriving, "a").join(side(known, "b"), F.col("id_a") != F.col("id_b"))))
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 #: Neighbours of a node above the ground level (twice as many there); candidates while building and while searching.
-M, EF_BUILD, EF_SEARCH = 12, 60, 100
+M, EF_BUILD, EF_SEARCH = 16, 80, 160
 SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 200_000, 20_000
 
 

@@ -126,7 +126,7 @@ def links(values: DataFrame, budget: int = 2, hot: int = CHUNK) -> DataFrame:
     found = None
     while True:
         rows = rows.withColumn("prefix", prefix)
-        heavy = rows.groupBy("path", "prefix").count().filter(F.col("count") > hot).filter("true").select("path", "prefix")
+        heavy = rows.groupBy("path", "prefix").count().filter(F.col("count") > hot).select("path", "prefix")
         heavy = cut(heavy)
         more = not heavy.isEmpty()
         light = rows.join(heavy, ["path", "prefix"], "left_anti") if more else rows

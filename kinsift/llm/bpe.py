@@ -33,7 +33,7 @@ WIDEST = 64
 #: From here on, versions of Unicode differ about letters, marks and their order.
 FAR_LETTERS = "\u0250"
 #: Cached words of a Python worker's younger and older half, and their longest length.
-CACHED, CACHED_LENGTH = 250_000, 48
+CACHED, CACHED_LENGTH = 160_000, 48
 
 
 def byte_characters() -> list[str]:

@@ -6,6 +6,7 @@ broken function doesn't drag its neighbours along. `import x = require()` is no
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -389,8 +390,6 @@ class Scanner:
 def chunks_of(source: str) -> Iterator[tuple[int, str, int, int, int, bool]]:
     """(seq, kind, start_line, end_line, byte_len, has_error) of each function."""
     starts = [0, *(m.end() for m in re.finditer("\n", source))]
-    import bisect
-
     line = lambda at: bisect.bisect_right(starts, at)
     for seq, f in enumerate(Scanner(source).functions()):
         yield seq, f.kind, line(f.start), line(max(f.start, f.end - 1)), len(source[f.start : f.end].encode()), not f.sound

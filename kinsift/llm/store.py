@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .bpe import CACHED, CACHED_LENGTH, FAR_LETTERS, default_tokenizer
+from .bpe import CACHED_LENGTH, FAR_LETTERS, default_tokenizer
 from .common import bounded_batches, shared_folder
 
 END_ID = 1
 #: Ids that the rolling hash sees; bits of it that are zero at a cut (a cut in 2^10 ids); bounds of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
+#: Cached pieces of a Python worker's younger and older half.
+CACHED_PIECES = 400_000
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Reversed polynomial of CRC-32.
@@ -67,7 +69,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED:
+        if len(self.cache) > CACHED_PIECES:
             self.older, self.cache = self.cache, {"": b""}
         known, older = self.cache, self.older
         words: dict[str, str] = {}  # pieces of one word of letters, and what is looked up for them
@@ -77,8 +79,8 @@ class Encoder:
                 known[p] = ids
                 continue
             core = p[:-1] if p[-1] in ",." else p
-            if core.isalpha() and max(core) < FAR_LETTERS and (word := core.lower()).isalpha():
-                words[p] = word
+            if core.isalpha() and (core.isascii() or max(core) < FAR_LETTERS and core.lower().isalpha()):
+                words[p] = core.lower()
             else:
                 odd.append(p)
         bare = {w: known[w] if w in known else older.get(w) for w in words.values()}

@@ -187,7 +187,7 @@ def blocks_of(benchmark: DataFrame, max_bytes: int, id_col: str, text_col: str)
     return [[tuple(r) for r in (rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) if n > 1 else rows).collect()] for i in range(n)]
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, last: Callable, schema, id_col="item_id", text_col="text", max_bytes: int = 32 << 20) -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, last: Callable, schema, id_col="item_id", text_col="text", max_bytes: int = 16 << 20) -> DataFrame:
     """Documents past each block of the benchmark. `last` makes the result of (batch, spans of each row, ids of each row);
     the text is the column text of `docs`."""
     spark = docs.sparkSession
@@ -230,7 +230,7 @@ def hit_words(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """The contract's digest of every row."""
 
     def last(batch: pa.RecordBatch, found) -> pa.RecordBatch:
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = 32 <<
     return marked(docs.select("doc_id", "text"), benchmark, last, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", max_bytes=max_bytes)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with all their columns."""
 
     width = len(docs.columns)

@@ -20,9 +20,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, source) of the source files below a folder; paths are relative to it. Folders of dependencies and builds are left
     out. A file that isn't UTF-8 has a NULL source."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     base = "/" + folder.split(":", 1)[-1].strip("/") + "/"
-    rows = raw.select(F.expr(f"substring_index(path, '{base}', -1)").alias("path"), root.alias("whole"), "content")
+    rows = raw.select(F.substr("path", F.instr("path", base) + len(base)).alias("path"), "content")
     kept = rows.filter(F.endswith("path", F.lit(SOURCES[0])) | F.endswith("path", F.lit(SOURCES[1]))).filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, PRUNED))))
     return kept.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("source"))
 

@@ -55,8 +55,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings; null is the empty text."""
-    return ["" if x is None else x for x in column.to_pylist()]

@@ -33,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .bpe import CACHED_LENGTH, FAR_LETTERS, default_tokenizer

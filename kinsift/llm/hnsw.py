@@ -4,10 +4,13 @@ Equal vectors are collapsed first, each with its smallest `k + 1` ids: a query n
 rows in one vector is one node. Distinct vectors are dealt to shards by hash. A shard's graph is built in one task and
 kept as a row of flat arrays: vectors, levels, and each level's neighbours. Largest inner product becomes nearest
 Euclidean distance by one more dimension that fills every vector of the shard up to the longest one's length; queries
-have zero there. Blocks of queries meet every shard, a task each; of a shard's answers the best are expanded to ids,
-scored in double precision on the original vectors, and the shards' lists are merged by score and id.
+have zero there. Shards are searched in bundles. Blocks of queries meet every bundle, a task each; of a shard's answers the
+best are expanded to ids, scored in double precision on the original vectors, and the shards' lists are merged by score
+and id, in the task first and then over all bundles.
 
-Shards are as many as keep each below `shard_rows` distinct vectors, and at least `shards`.
+Shards are as many as hold about `shard_rows` distinct vectors each, and at least `shards`; bundles as many as hold about
+`bundle_rows`, and at least `shards`. What a search of fixed width finds falls with the size of a shard, so the width is
+at least `ef` and one more for each `WIDTH_ROWS` vectors of the shard.
 
 Defined results: null vectors, vectors with null or non-finite components, zero vectors, and rows without an id take no
 part, as candidates or as queries. Vectors of different lengths never meet. A query's own id is no candidate; rows that
@@ -30,7 +33,8 @@ from .common import written
 
 #: Neighbours of a node above the ground level (twice as many there); candidates while building and while searching.
 M, EF_BUILD, EF_SEARCH = 16, 80, 160
-SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 200_000, 20_000
+SHARDS, SHARD_ROWS, BUNDLE_ROWS, QUERY_BLOCK = 8, 16_000, 200_000, 20_000
+WIDTH_ROWS = 50
 
 
 class Graph:
@@ -208,32 +212,44 @@ def index(rows: DataFrame, k: int, shards: int, shard_rows: int) -> DataFrame:
     return written(dealt.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, entry int, levels binary, links binary, vectors binary, counts binary, ids binary"), "hnsw-index")
 
 
-def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF_SEARCH, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, bundle_rows: int = BUNDLE_ROWS, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of `table` that were found for each row of `queries`."""
     graphs = index(participants(table, id_col, vector_col), k, shards, shard_rows)
+    made = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    bundles = max(shards, math.ceil(made * shard_rows / bundle_rows))
+    graphs = graphs.withColumn("bundle", F.pmod("shard", F.lit(bundles)))
     asked = participants(queries, id_col, vector_col).distinct()
     blocks = max(1, math.ceil(asked.count() / query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    met = asked.join(graphs.groupBy("dim").agg(F.collect_set("shard").alias("shards")), "dim").select("id", "v", "dim", "block", F.explode("shards").alias("shard"))
+    met = asked.join(graphs.groupBy("dim").agg(F.collect_set("bundle").alias("bundles")), "dim").select("id", "v", "dim", "block", F.explode("bundles").alias("bundle"))
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["shard", "dim", "block"]
+    key = ["bundle", "dim", "block"]
 
     def search(graphs, asked):
         out: tuple[list, list, list] = ([], [], [])
         if len(graphs) and len(asked):
-            g = {c: graphs.column(c)[0].as_py() for c in ("dim", "entry", "levels", "links", "vectors", "counts", "ids")}
-            vectors = np.frombuffer(g["vectors"], "<f8").reshape(-1, g["dim"])
-            graph = Graph.of(vectors, g["entry"], g["levels"], g["links"])
-            ends = np.cumsum(np.frombuffer(g["counts"], "<i4"))
-            ids = np.split(np.frombuffer(g["ids"], "<i8"), ends[:-1])
+            queries = asked.column("id").to_pylist()
             qs = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
-            for query, q in zip(asked.column("id").to_pylist(), qs, strict=True):
-                found = graph.search(q, k + 1, ef)
-                for node, score in zip(found, (vectors[found] * q).sum(1).tolist(), strict=True):
-                    own = [i for i in ids[node].tolist() if i != query]
-                    out[0].extend([query] * len(own))
-                    out[1].extend(own)
-                    out[2].extend([score] * len(own))
+            near: list[dict[int, float]] = [{} for _ in queries]
+            for at in range(len(graphs)):
+                g = {c: graphs.column(c)[at].as_py() for c in ("dim", "entry", "levels", "links", "vectors", "counts", "ids")}
+                vectors = np.frombuffer(g["vectors"], "<f8").reshape(-1, g["dim"])
+                graph = Graph.of(vectors, g["entry"], g["levels"], g["links"])
+                width = max(ef, math.ceil(len(vectors) / WIDTH_ROWS))
+                ends = np.cumsum(np.frombuffer(g["counts"], "<i4"))
+                ids = np.split(np.frombuffer(g["ids"], "<i8"), ends[:-1])
+                for j, (query, q) in enumerate(zip(queries, qs, strict=True)):
+                    found, mine = graph.search(q, k + 1, width), near[j]
+                    for node, score in zip(found, (vectors[found] * q).sum(1).tolist(), strict=True):
+                        for i in ids[node].tolist():
+                            if i != query and score > mine.get(i, -math.inf):
+                                mine[i] = score
+                    if len(mine) > k:
+                        near[j] = dict(heapq.nsmallest(k, mine.items(), key=lambda x: (-x[1], x[0])))
+            for query, mine in zip(queries, near, strict=True):
+                out[0].extend([query] * len(mine))
+                out[1].extend(mine)
+                out[2].extend(mine.values())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     found = spread.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")

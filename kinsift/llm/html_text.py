@@ -59,7 +59,7 @@ NAMES = frozenset(
 )
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|[^>]*+>?))""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 SPLIT = re.compile(r"[^a-z]+")
 LAYOUT = frozenset(["html", "body", "main", "article"])
 
@@ -197,7 +197,7 @@ class Page:
 
 def named_out(tag: str, attributes: str) -> bool:
     """Whether class, id, role or visibility say that an element is no article."""
-    for name, value in NAMED.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True

@@ -47,3 +47,15 @@ def test_edge_rows(spark):
     want = {1: "", 2: "", 3: "just <text> & more", 0: "a\nb", 4: "deep", 5: "unclosed", 6: "", 7: "", 8: ("word " * 100_000).strip()}
     assert len(got) == len(rows) and all(t == want[k] and n == len(t) for k, t, n in got)
     assert T.extract(pages.filter("false")).collect() == []
+
+
+def test_only_whole_attribute_names_say_that_an_element_is_hidden():
+    kept = ['a href="/hidden-lake"', 'a href="/x?id=login"', "a href=/hidden/id=login", 'p title="a hidden gem"', "p title='class=ad'", 'div data-hidden="false"', 'div data-id="ad" data-class=ad', 'p title = "role=search" lang=en', 'div aria-hidden="false"', 'img alt="style=display:none"', 'div hidden-x id=""', "div data-style='display:none'"]
+    for tag in kept:
+        name = tag.split()[0]
+        assert T.Page(f"<article><p>one</p><{tag}>two</{name}></article>").main_text(frozenset()) == "one\ntwo", tag
+    gone = ["div hidden", "div HIDDEN=''", 'p title="x"hidden', "div/hidden", 'div class = "x ad"', "p title='x' id=login", "div data-x=1 role=search", "div aria-hidden='true'", 'a href="/x" style="display: none"', 'div id="" hidden', "div hidden/"]
+    for tag in gone:
+        name = re.match("[a-z]+", tag)[0]
+        assert T.Page(f"<article><p>one</p><{tag}>two</{name}></article>").main_text(frozenset()) == "one", tag
+    assert T.Page('<article><p>See <a href="/hidden-lake">the lake</a> there</p></article>').main_text(frozenset()) == "See the lake there"

@@ -3,8 +3,9 @@
 Pages are parsed into elements; inline elements belong to the text around them. A subtree is hashed by its source. In
 Spark, subtrees are counted per host by the distinct parents they stand in: a template stands in a different page each
 time, while what is inside a copied part always has the same parent. Subtrees that recur in `min_parents` parents of a host
-are deleted from its pages. Prose inside an article or main element is left alone: copies and quotations recur too, and
-only a template's place outside the article, or its links, tell it from them.
+are deleted from its pages. Prose inside an article element is left alone: copies and quotations recur too, and only a
+template's place outside the article, or its links, tell it from them. On a page without an article what is in main counts
+like the rest of the body.
 
 Beside that go elements that are no article by their meaning: scripts, styles, forms, menus, asides, footers, headers
 outside the article, hidden elements, and those whose class, id or role names adverts, notices, comments and the like.
@@ -161,8 +162,8 @@ class Page:
 
     def candidates(self) -> list[int]:
         """Elements that may be a template: outside articles, or made of links rather than prose."""
-        if not any((e.article or e.main) and not e.out for e in self.elements):
-            return [i for i, e in enumerate(self.elements) if e.tag not in ("", "html", "head", "body")]
+        if not any(e.article and not e.out for e in self.elements):
+            return [i for i, e in enumerate(self.elements) if e.tag not in LAYOUT and e.tag not in ("", "head")]
         links, chars = self.links.copy(), self.chars.copy()
         for i in range(len(self.elements) - 1, 0, -1):
             links[self.elements[i].parent] += links[i]

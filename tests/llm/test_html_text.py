@@ -59,3 +59,16 @@ def test_only_whole_attribute_names_say_that_an_element_is_hidden():
         name = re.match("[a-z]+", tag)[0]
         assert T.Page(f"<article><p>one</p><{tag}>two</{name}></article>").main_text(frozenset()) == "one", tag
     assert T.Page('<article><p>See <a href="/hidden-lake">the lake</a> there</p></article>').main_text(frozenset()) == "See the lake there"
+
+
+def test_recurring_prose_in_main_goes_and_in_an_article_stays(spark):
+    note = "<div><p>Join our readers and get a letter each week.</p></div>"
+    rows = [(i, f"http://m.example/{i}", f"<body><main>{note}<p>Own {i}</p></main></body>") for i in range(12)]
+    rows += [(100 + i, f"http://a.example/{i}", f"<body><main>{note}<article>{note}<p>Own {i}</p></article></main></body>") for i in range(12)]
+    rows += [(200 + i, f"http://f.example/{i}", f"<body><main>{note}<p>Own {i}</p></main></body>") for i in range(9)]
+    rows += [(300 + i, f"http://c.example/{i}", f"<body><div>{i}</div><main>{note}<p>Copied</p></main></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in T.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = "Join our readers and get a letter each week."
+    assert all(got[i] == f"Own {i}" and got[100 + i] == f"{kept}\nOwn {i}" for i in range(12))
+    assert all(got[200 + i] == f"{kept}\nOwn {i}" for i in range(9))  # in fewer parents than a template
+    assert all(got[300 + i] == f"{kept}\nCopied" for i in range(12))  # a copied main has one content, and stays

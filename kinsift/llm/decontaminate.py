@@ -9,7 +9,8 @@ window: it is indexed by a k-gram of its own and looked up among all k-grams of
 word, so a clash of hashes adds nothing.
 
 The index is bounded: benchmarks of more than `max_bytes` of text are split by item into blocks of about that size, and
-documents pass them one after the other, without a shuffle.
+documents pass them one after the other, without a shuffle. Between blocks they are written, with their hits so far, so
+that one block and its index are held at a time; what was written before is deleted then.
 
 Defined results: a null text has no words. A document with no words is clean. Items without words are ignored; items are
 counted by their id, a null id is the empty string. Repeated rows give repeated rows. An empty table of documents gives
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches
+from .common import bounded_batches, map_batches, written
 
 WINDOW, K = 13, 5
 #: Bytes in lower case, and whether they belong to a word: digits, letters, and all that isn't ASCII.
@@ -179,12 +180,20 @@ class Index:
         return s, e
 
 
-def blocks_of(benchmark: DataFrame, max_bytes: int, id_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The items as lists of about `max_bytes` of text; each is fetched by itself when it is asked for."""
+def blocks_of(benchmark: DataFrame, max_bytes: int, id_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """The number of blocks, and the items as lists of about `max_bytes` of text; each is fetched by itself when it is asked for."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / max_bytes))
-    return [[tuple(r) for r in (rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) if n > 1 else rows).collect()] for i in range(n)]
+    return n, ([tuple(r) for r in (rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) if n > 1 else rows).collect()] for i in range(n))
+
+
+def delete(df: DataFrame) -> None:
+    """Deletes the folder of a frame that was written."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, last: Callable, schema, id_col="item_id", text_col="text", max_bytes: int = 16 << 20) -> DataFrame:
@@ -192,11 +201,11 @@ def marked(docs: DataFrame, benchmark: DataFrame, last: Callable, schema, id_col
     the text is the column text of `docs`."""
     spark = docs.sparkSession
     held = "array<struct<s: long, e: long>>"
-    blocks = blocks_of(benchmark, max_bytes, id_col, text_col)
+    count, blocks = blocks_of(benchmark, max_bytes, id_col, text_col)
     df = docs
     at = df.columns.index("text")
-    for b, items in enumerate(blocks):
-        sent, first, final = spark.sparkContext.broadcast(Index(items)), b == 0, b == len(blocks) - 1
+    for b in range(count):
+        sent, first, final = spark.sparkContext.broadcast(Index(next(blocks))), b == 0, b == count - 1
         n = len(docs.columns)
 
         def run(batch: pa.RecordBatch, sent=sent, first=first, final=final) -> pa.RecordBatch:
@@ -217,7 +226,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, last: Callable, schema, id_col
             bounded_batches(spark)
             return df.mapInArrow(lambda batches, run=run: map(run, batches), schema)
         base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        df = map_batches(df, run, f"{base}, __spans {held}, __items array<string>")
+        before, df = df, written(map_batches(df, run, f"{base}, __spans {held}, __items array<string>"), "marked-documents")
+        sent.destroy()
+        if not first:
+            delete(before)
     raise AssertionError("a benchmark has a block at least")
 
 

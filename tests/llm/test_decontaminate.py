@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -69,3 +70,24 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.contamination(docs, bench).collect() == []
     assert found(D.contamination(one, bench)) == plain([(1, "a b")], [])
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(15))) for i in range(12)]
+    docs = [(i, f"before {items[i % 12][1]} after") for i in range(30)] + [(40, "clean"), (41, None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    count, blocks = D.blocks_of(bench, 300, "item_id", "text")
+    assert count > 2 and iter(blocks) is blocks and sum(len(b) for b in blocks) == 12
+    steps, init, written, folders = [], D.Index.__init__, D.written, []
+
+    def kept(df, name):
+        steps.append("write")
+        folders.append(written(df, name))
+        return folders[-1]
+
+    monkeypatch.setattr(D.Index, "__init__", lambda self, x: steps.append("index") or init(self, x))
+    monkeypatch.setattr(D, "written", kept)
+    got = D.contamination(frame, bench, max_bytes=300)
+    assert steps == ["index", "write"] * (count - 1) + ["index"]
+    assert found(got) == plain(docs, items)
+    assert [Path(f.inputFiles()[0].removeprefix("file:")).exists() for f in folders] == [False] * (count - 2) + [True]

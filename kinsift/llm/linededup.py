@@ -16,6 +16,10 @@ character. What is earlier need not itself be kept: each of a chain of lines an
    each such group, not all of its pairs.
 4. The texts of the pairs so found are compared by edit distance.
 
+With `edits` above one, two lines are near if they are within that many edits. Of `edits` + 1 segments of the shorter line one
+stands unchanged in the longer, at most `edits` characters off; lines are joined by these, and all pairs so found compared.
+That loses none, but a segment that many lines share costs the square of their number.
+
 Defined results: a null text has no lines and stays null; blank lines are kept and never compared. A document whose
 lines are all kept keeps its text as it was. Rows that repeat an id are one document each, told apart by a hash of
 their text; of rows that are equal in both, the lines of the one are those of the other, and both are treated alike. A null id sorts first.
@@ -130,19 +134,41 @@ def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return verified.select("key", "earlier")
 
 
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def pairs_within(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """(key, earlier): distinct lines, as hashes, with each earlier line within `edits` edits, of those that bear an edit."""
+    some = firsts.filter("halves is not null").select("a", "b", "place")
+    texts = places(docs).select("line", *hashed(F.col("line"))).join(some.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
+    lines = cut(texts.join(some, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
+    own = F.char_length("line")
+
+    def parts(off: Column, shifts: range) -> DataFrame:
+        each = lines.select("key", "place", "line", F.explode(off).alias("off")).withColumn("n", own - F.col("off"))
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("j")).select("*", F.explode(F.array(*[F.lit(x) for x in shifts])).alias("shift"))
+        each = each.withColumns({"from": F.expr(f"cast(j * n div {edits + 1} as int)"), "to": F.expr(f"cast((j + 1) * n div {edits + 1} as int)")})
+        each = each.filter((F.col("from") + F.col("shift") >= 0) & (F.col("to") + F.col("shift") <= own) & (F.col("n") > 0))
+        return each.select("key", "place", "line", F.xxhash64("n", "j", F.substr("line", F.col("from") + F.col("shift") + 1, F.col("to") - F.col("from"))).alias("part"))
+
+    shorter = parts(F.array(F.lit(0)), range(1)).select("part", F.struct("place", "key", "line").alias("one"))
+    longer = parts(F.sequence(F.lit(0), F.lit(edits)), range(-edits, edits + 1)).select("part", F.struct("place", "key", "line").alias("other"))
+    met = shorter.join(longer, "part").filter("one.key != other.key").filter(F.levenshtein("one.line", "other.line", edits) >= 0)
+    one_first = F.col("one.place") < F.col("other.place")
+    return met.select(F.when(one_first, F.col("other.key")).otherwise(F.col("one.key")).alias("key"), F.when(one_first, F.col("one.key")).otherwise(F.col("other.key")).alias("earlier")).distinct()
+
+
+def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """(place): every line that gives way to an earlier one."""
     firsts = distinct_lines(docs, min_chars)
-    gone = sized(near_pairs(docs, firsts).select("key.a", "key.b").distinct().withColumn("near", F.lit(True)))
+    near = near_pairs(docs, firsts) if edits == 1 else pairs_within(docs, firsts, edits)
+    gone = sized(near.select("key.a", "key.b").distinct().withColumn("near", F.lit(True)))
     # Lines that occur once and have no neighbour need no second look.
     repeated = firsts.select("a", "b", F.col("place").alias("first"), "times").join(gone, ["a", "b"], "left").filter("near or times > 1")
     repeated = sized(repeated.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
     return places(docs).select("place", *hashed(F.col("line"))).join(repeated, ["a", "b"]).filter("near or not (place <=> first)").select("place")
 
 
-def judged(docs: DataFrame, min_chars: int) -> DataFrame:
+def judged(docs: DataFrame, min_chars: int, edits: int = 1) -> DataFrame:
     """The rows of `docs` with what is left of their texts, and __n_lines and __n_kept; blank lines count in neither."""
-    gone = dropped(docs, min_chars).select(F.col("place.doc_id").alias("__id"), F.shiftright("place.at", 32).cast("int").alias("__hash"), F.col("place.at").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int").alias("pos"))
+    gone = dropped(docs, min_chars, edits).select(F.col("place.doc_id").alias("__id"), F.shiftright("place.at", 32).cast("int").alias("__hash"), F.col("place.at").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int").alias("pos"))
     gone = gone.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__hash")), "left")
     lines = F.split("text", "\n", -1)
@@ -155,14 +181,14 @@ def judged(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """The rows of `docs` with what is left of their texts, and n_lines and n_kept in place of columns of these names."""
-    return judged(docs.drop("n_lines", "n_kept"), min_chars).withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
+    return judged(docs.drop("n_lines", "n_kept"), min_chars, edits).withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
 
 
-def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """The rows of `docs` with the columns they had; n_chars is that of what is left. Documents that had lines and kept none go."""
-    rest = judged(docs, min_chars).filter("__n_kept > 0 or __n_lines = 0")
+    rest = judged(docs, min_chars, edits).filter("__n_kept > 0 or __n_lines = 0")
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rest.select(*docs.columns)

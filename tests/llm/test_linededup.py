@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from kinsift.llm import linededup as L
 
@@ -65,3 +66,32 @@ def test_repeated_ids_and_empty(spark):
 def test_native_plan(spark, sf):
     plan = L.deduplicated(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_wider_edit_bounds_against_brute_force(spark):
+    rng = random.Random(4)
+    lines = []
+    for b in ["the quick brown fox jumps", "aaaaaaaaaaaaaaaaaaaa", "ñandú über straße ñandú", "short line"]:
+        for _ in range(25):
+            line = b
+            for _ in range(rng.randint(0, 5)):
+                i = rng.randrange(len(line))
+                line = rng.choice([line[:i] + "x" + line[i:], line[:i] + line[i + 1 :], line[:i] + "y" + line[i + 1 :]])
+            lines.append(line)
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    kept = []
+    for edits in (0, 1, 2, 3):
+        want = [x for i, x in enumerate(lines) if not any(x == e or (min(len(x), len(e)) >= L.MIN_CHARS and distance(x, e) <= edits) for e in lines[:i])]
+        assert [r[3] for r in found(L.deduplicated(docs, edits=edits)) if r[2]] == want
+        kept.append(len(want))
+    assert kept == sorted(set(kept), reverse=True)

@@ -126,6 +126,10 @@ SELECT doc_id, pos, CASE WHEN error IS NULL THEN p END AS path, CASE WHEN error
 v AS (SELECT *, CASE WHEN regexp_matches(text, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN text::DOUBLE END AS x FROM t)
 SELECT event_id, text, CASE WHEN x BETWEEN 0 AND 1 THEN x END AS value, CASE WHEN text IN ('nan', 'inf') THEN 'OutOfRange' WHEN x IS NULL THEN 'NotANumber' WHEN NOT x BETWEEN 0 AND 1 THEN 'OutOfRange' END AS error FROM v""",
     "seed_lines": f"SELECT path, line::BIGINT AS line FROM ({values(SEEDS)}) AS t(path, line)",
+    "seed_lines_documents": rf"""WITH planted AS (SELECT doc_id, concat_ws(chr(10), text, lang || '(' || source || ') {{', chr(9) || 'if (' || lang || ') {{', '}} ' || lang || '() {{', lang || ') ( {{', lang || ' {{') AS text FROM documents),
+{LINES.replace("FROM documents", "FROM planted")}, each AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, trim(unnest(lines), ' ' || chr(9)) AS x FROM lines)
+SELECT doc_id, line FROM each WHERE NOT starts_with(x, '}}') AND ends_with(x, '{{') AND regexp_matches(x, '^[^(]*\(.*\)', 's')
+  AND regexp_extract(x, '^([A-Za-z0-9_$]*)', 1) NOT IN ({", ".join(map(text, T.CONTROL_WORDS))})""",
     "ts_chunks": f"SELECT path, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, has_error FROM ({values(EXPECTED)}) AS t(path, kind, start_line, end_line, has_error)",
     "ts_imports": f"SELECT path, pos::BIGINT AS pos, specifier, module FROM ({values(IMPORTED)}) AS t(path, pos, specifier, module)",
     "recurrence": """WITH last AS (SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'error'), 0) AS last FROM events GROUP BY user_id),

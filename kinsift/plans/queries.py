@@ -231,6 +231,14 @@ def seed_lines(spark, d):
     return seeds.seed_lines(spark.createDataFrame(snippets.FILES, "path string, source string")).select("path", F.col("line").cast("long").alias("line"))
 
 
+@query
+def seed_lines_documents(spark, d):
+    """Of all documents' lines, and of lines made of their columns, since prose has hardly any."""
+    made = F.concat_ws("\n", "text", F.format_string("%s(%s) {\n\tif (%s) {\n} %s() {\n%s) ( {\n%s {", "lang", "source", "lang", "lang", "lang", "lang"))
+    found = seeds.seed_lines(table(spark, d, "documents").select(F.col("doc_id").alias("path"), made.alias("source")))
+    return found.select(F.col("path").alias("doc_id"), F.col("line").cast("long").alias("line"))
+
+
 @query
 def ts_chunks(spark, d):
     found = chunks(spark.createDataFrame(snippets.FILES, "path string, source string"))

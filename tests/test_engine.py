@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from kinsift import cli
 from kinsift import types as T
+from kinsift.functions import lexer
 from kinsift.operators import pairs, tally
 from kinsift.operators.classify import classify
 from kinsift.operators.seeds import is_seed
@@ -160,6 +161,19 @@ def test_seed_lines(spark, line, seed):
     assert spark.createDataFrame([(line,)], "t string").select(is_seed(F.col("t")).alias("x")).first().x is seed
 
 
+def test_seed_lines_of_documents(spark, sf):
+    from kinsift.plans.queries import seed_lines_documents
+
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert seed_lines_documents(spark, sf).select("doc_id").distinct().count() == n
+
+
+def test_token_set_of_a_mere_comment_is_not_measured(spark):
+    rows = [("a b", False), (" // nothing but a comment", True), ("/* c */", True), ("", True)]
+    got = spark.createDataFrame(rows, "t string, missing boolean").select("missing", lexer.token_set(F.col("t")).isNull().alias("x")).collect()
+    assert all(r.x is r.missing for r in got)
+
+
 def test_streamed_verdicts_equal_batch(spark, tmp_path):
     from kinsift.streaming.verdicts import to_parquet, verdict_stream
 

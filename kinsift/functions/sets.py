@@ -12,9 +12,10 @@ def ratio(shared: Column, total: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Intersection over union of two arrays without repeats; NULL if either is NULL."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(a.isNotNull() & b.isNotNull(), ratio(shared, F.size(a) + F.size(b) - shared))
+    """Intersection over union of two arrays without repeats; NULL if either is NULL. The intersection is made once: the
+    ratio's operands are bound as one item of an array."""
+    counts = F.array(F.struct(F.size(F.array_intersect(a, b)).alias("shared"), (F.size(a) + F.size(b)).alias("both")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.transform(counts, lambda x: ratio(x["shared"], x["both"] - x["shared"]))[0])
 
 
 def or_null(items: Column) -> Column:

@@ -1,19 +1,25 @@
 """Pairs of chunks: all of them, those that are similar, and their tally.
 
-A frame of chunks has id, tokens, modules (NULL where there are none) and dirs. Chunks with equal features are one class,
-and only classes are paired; members come back by their ids. The tally never leaves the classes."""
+A frame of chunks has id, tokens, modules (NULL where there are none) and dirs. Distinct values of each feature are numbered
+by the smallest id that has them. The full mode measures each pair of distinct values once and looks the signals up by
+these numbers; the tally never makes a pair of chunks."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import types as T
 from ..functions.paths import steps
 from ..functions.sets import jaccard
+from ..storage import written
 from .classify import classify
 
 FEATURES = ("tokens", "modules", "dirs")
+#: Rows of (number, number, signal) that may be broadcast: some 20 MB. More are joined by shuffle.
+BROADCAST_PAIRS = 500_000
 
 
 def signals_of(pairs: DataFrame) -> DataFrame:
@@ -26,27 +32,106 @@ def side(chunks: DataFrame, suffix: str) -> DataFrame:
     return chunks.select(*[F.col(c).alias(f"{c}_{suffix}") for c in chunks.columns])
 
 
+def paired(rows: DataFrame) -> DataFrame:
+    """Every pair of rows, id_a < id_b, once. Rows are dealt to blocks, and each pair of blocks is a cell: an equi-join on the
+    cell spreads the pairs evenly over all tasks, whatever the ids."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = 2 * math.ceil(math.sqrt(tasks))
+    each = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each = each.withColumn("cell", F.least("block", "other") * blocks + F.greatest("block", "other")).drop("other").repartition(tasks, "cell")
+    own = (F.col("block_a") != F.col("block_b")) | (F.col("cell_a") == F.col("block_a") * (blocks + 1))
+    met = side(each, "a").join(side(each, "b"), (F.col("cell_a") == F.col("cell_b")) & (F.col("id_a") < F.col("id_b")) & own)
+    return met.drop("block_a", "block_b", "cell_a", "cell_b")
+
+
+def numbered(chunks: DataFrame, feature: str, number: str) -> DataFrame:
+    """(feature, number): each distinct value that isn't NULL, with the smallest id that has it."""
+    return chunks.filter(F.col(feature).isNotNull()).groupBy(feature).agg(F.min("id").alias(number))
+
+
 def all_pairs(chunks: DataFrame) -> DataFrame:
     """(id_a, id_b, signals) of every pair, id_a < id_b: the full mode, quadratic by what is asked for."""
-    return signals_of(side(chunks, "a").join(side(chunks, "b"), F.col("id_a") < F.col("id_b")))
+    measures = {"tokens": (T.STRUCTURAL, jaccard, 1.0), "modules": (T.IMPORTS, jaccard, 1.0), "dirs": (T.DISTANCE, steps, 0)}
+    values, codes = {}, chunks
+    for feature in FEATURES:
+        values[feature] = written(numbered(chunks, feature, f"{feature}_no"), f"distinct-{feature}")
+        codes = codes.join(values[feature], feature, "left")
+    pairs = paired(written(codes.select("id", *[f"{f}_no" for f in FEATURES]), "numbered-chunks"))
+    for feature, (signal, measure, own) in measures.items():
+        of = values[feature].select(F.col(f"{feature}_no").alias("id"), F.col(feature).alias("value"))
+        met = paired(of).select("id_a", "id_b", measure(F.col("value_a"), F.col("value_b")).alias("measured"))
+        n = of.count()
+        table = met.withColumnsRenamed({"id_a": "least", "id_b": "most"})
+        a, b = F.col(f"{feature}_no_a"), F.col(f"{feature}_no_b")
+        joined = pairs.join(F.broadcast(table) if n * (n - 1) // 2 <= BROADCAST_PAIRS else table, (F.least(a, b) == F.col("least")) & (F.greatest(a, b) == F.col("most")), "left")
+        pairs = joined.withColumn(signal, F.when(a == b, F.lit(own)).otherwise(F.col("measured"))).drop("least", "most", "measured", f"{feature}_no_a", f"{feature}_no_b")
+    return pairs
 
 
 def verdict_pairs(chunks: DataFrame, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
     return classify(all_pairs(chunks), threshold)
 
 
-def classes(chunks: DataFrame) -> DataFrame:
-    """(class, n, features): equal chunks once; the class is its smallest id."""
-    return chunks.groupBy(*FEATURES).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+def verdict_histogram(chunks: DataFrame, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
+    """(verdict, n) over all pairs, most first, without making them. Similar token sets, shared modules and near directories
+    are relations between distinct values, found by equi-joins; what a relation reaches is summed value by value:
 
+      EXTRACT         pairs that are similar and share modules
+      DO-NOT-EXTRACT  pairs that are similar and measured, less the first, less those of them that stand near each other
+      REVIEW          all the others
 
-def verdict_histogram(chunks: DataFrame, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
-    """(verdict, n) over all pairs, most first, of pairs of classes and how many pairs of chunks each stands for."""
-    of = classes(chunks)
-    within = F.col("id_a") == F.col("id_b")
-    paired = side(of, "a").join(side(of, "b"), F.col("id_a") <= F.col("id_b"))
-    weight = F.when(within, F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
-    return classify(signals_of(paired), threshold).groupBy("verdict").agg(F.sum(weight).alias("n")).filter("n > 0").orderBy(F.desc("n"), "verdict")
+    Sums run over ordered pairs, a chunk with itself included; that cancels out of the second and is taken from the first."""
+    t = T.threshold(threshold)
+    if t <= 0:  # every measured pair is similar: nothing to prune by
+        return classify(all_pairs(chunks), t).groupBy("verdict").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "verdict")
+    codes = chunks
+    for feature in FEATURES:
+        codes = codes.join(numbered(chunks, feature, feature[0]), feature, "left")
+    measured = written(codes.filter("t is not null and m is not null").groupBy("t", "m", "d").agg(F.count("*").alias("n")), "measured-classes")
+    similar = written(both_ways(near_sets(numbered(chunks, "tokens", "t"), "tokens", "t", t)), "similar-sets")
+    sharing = written(both_ways(near_sets(numbered(chunks, "modules", "m"), "modules", "m", T.SHARED_IMPORTS)), "sharing-modules")
+    near = written(near_directories(numbered(chunks, "dirs", "d")), "near-directories")
+
+    def total(key: list[str], *relations: tuple[str, DataFrame]) -> DataFrame:
+        """Sum of n * n' over classes by `key` that are related in every named column."""
+        sums = measured.groupBy(*key).agg(F.sum("n").alias("n"))
+        reached = sums
+        for column, relation in relations:
+            reached = reached.join(relation.withColumnsRenamed({"a": column, "b": "to"}), column).drop(column).withColumnRenamed("to", column).groupBy(*key).agg(F.sum("n").alias("n"))
+        return reached.withColumnRenamed("n", "reached").join(sums, key).agg(F.coalesce(F.sum(F.col("n") * F.col("reached")), F.lit(0)).alias("x"))
+
+    # Near directories first: they reach fewest.
+    parts = {
+        "similar": total(["t"], ("t", similar)),
+        "shared": total(["t", "m"], ("t", similar), ("m", sharing)),
+        "near": total(["t", "d"], ("d", near), ("t", similar)),
+        "near_shared": total(["t", "m", "d"], ("d", near), ("t", similar), ("m", sharing)),
+        "itself": measured.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("x")),
+        "chunks": chunks.agg(F.count("*").alias("x")),
+    }
+    sums = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("name"), F.col("x").cast("long").alias("x"))
+        sums = one if sums is None else sums.unionByName(one)
+    of = lambda name: F.sum(F.when(F.col("name") == name, F.col("x")))
+    extract = F.expr("(shared - itself) div 2")
+    apart = F.expr("(similar - shared - near + near_shared) div 2")
+    row = sums.agg(*[of(name).alias(name) for name in parts]).select(extract.alias("e"), apart.alias("d"), F.expr("chunks * (chunks - 1) div 2").alias("all"))
+    return row.select(F.expr(f"stack(3, '{T.EXTRACT}', e, '{T.DO_NOT_EXTRACT}', d, '{T.REVIEW}', all - e - d) AS (verdict, n)")).filter("n > 0").orderBy(F.desc("n"), "verdict")
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(a, b) in both orders."""
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*").distinct()
+
+
+def near_directories(values: DataFrame) -> DataFrame:
+    """(a, b): numbers of directories fewer than T.DISTANT_STEPS = 2 steps apart, in both orders: equal, or one above the other."""
+    own = values.select(F.col("d").alias("a"), "dirs")
+    above = own.filter(F.size("dirs") > 0).select("a", F.slice("dirs", F.lit(1), F.size("dirs") - 1).alias("dirs"))
+    up = above.join(own.withColumnRenamed("a", "b"), "dirs").select("a", "b")
+    return both_ways(up).unionByName(own.select("a", F.col("a").alias("b")))
 
 
 def pair_count(chunks: DataFrame) -> DataFrame:
@@ -69,20 +154,30 @@ def split_failures(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.filter("error is null"), results.filter("error is not null")
 
 
+def near_sets(distinct: DataFrame, value: str, number: str, threshold: float) -> DataFrame:
+    """(a, b): numbers of distinct sets, a <= b, of at least that Jaccard similarity; each set is near itself. Prefix filter: of two
+    such sets, the first n - ceil(t * n) + 1 of the rarest items share one, so an equi-join on these finds all of them;
+    sizes must agree as well."""
+    distinct = written(distinct.select(F.col(number).alias("no"), F.col(value).alias("items")), "distinct-sets")
+    one = distinct.select("no", F.explode("items").alias("item"))
+    rare = one.groupBy("item").agg(F.count("*").alias("sets"))
+    ranked = one.join(rare, "item").groupBy("no").agg(F.array_sort(F.collect_list(F.struct("sets", "item"))).alias("by_rarity"))
+    size = F.size("by_rarity")
+    prefix = ranked.select("no", F.explode(F.slice("by_rarity", F.lit(1), (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int"))).alias("x"), size.alias("size")).select("no", "x.item", "size")
+    met = prefix.select(F.col("no").alias("a"), "item", F.col("size").alias("size_a")).join(prefix.select(F.col("no").alias("b"), "item", F.col("size").alias("size_b")), "item")
+    near = met.filter((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9)).select("a", "b").distinct()
+    both = near.join(distinct.select(F.col("no").alias("a"), F.col("items").alias("items_a")), "a").join(distinct.select(F.col("no").alias("b"), F.col("items").alias("items_b")), "b")
+    found = both.filter(jaccard(F.col("items_a"), F.col("items_b")) >= threshold).select("a", "b")
+    return found.unionByName(distinct.select(F.col("no").alias("a"), F.col("no").alias("b")))
+
+
 def similar_sets(sets: DataFrame, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
     """(rep_a, rep_b, n_a, n_b, similarity): pairs of distinct token sets of at least that similarity, each with its smallest id
-    and how many rows have it. Prefix filter: of two such sets, the first n - ceil(t * n) + 1 of the rarest tokens share one,
-    so an equi-join on these tokens finds all of them; sizes must agree as well."""
+    and how many rows have it."""
     t = T.threshold(threshold)
     if t <= 0:
         raise ValueError("a threshold of 0 prunes nothing; take all pairs")
-    distinct = sets.filter("tokens is not null").groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    one = distinct.select("rep", "n", "tokens", F.explode("tokens").alias("token"))
-    rare = one.groupBy("token").agg(F.count("*").alias("sets"))
-    ranked = one.join(rare, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("by_rarity"))
-    size = F.size("by_rarity")
-    prefix = ranked.select("rep", F.explode(F.slice("by_rarity", F.lit(1), (size - F.ceil(F.lit(t) * size - 1e-9) + 1).cast("int"))).alias("x"), size.alias("size")).select("rep", "x.token", "size")
-    met = prefix.select(F.col("rep").alias("rep_a"), "token", F.col("size").alias("size_a")).join(prefix.select(F.col("rep").alias("rep_b"), "token", F.col("size").alias("size_b")), "token")
-    near = met.filter((F.col("rep_a") < F.col("rep_b")) & (F.least("size_a", "size_b") >= F.lit(t) * F.greatest("size_a", "size_b") - 1e-9)).select("rep_a", "rep_b").distinct()
-    with_sets = near.join(distinct.select(F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a")), "rep_a").join(distinct.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), "rep_b")
-    return with_sets.select("rep_a", "rep_b", "n_a", "n_b", jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("similarity")).filter(F.col("similarity") >= t)
+    distinct = written(sets.filter("tokens is not null").groupBy("tokens").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "token-sets")
+    near = near_sets(distinct, "tokens", "rep", t).filter("a < b")
+    of = lambda s: distinct.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    return near.join(of("a"), "a").join(of("b"), "b").select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "n_a", "n_b", jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("similarity"))

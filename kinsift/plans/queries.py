@@ -17,6 +17,7 @@ from ..operators.classify import classify
 from ..operators.report import report
 from ..sources.files import chunks
 from ..sources.typescript import specifiers_of
+from ..storage import spread, written
 from . import snippets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,34 +38,41 @@ def hrefs(html):
 
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     """(id, tokens, modules, dirs); lexed once."""
-    return table(spark, d, "pages").select(F.col("page_id").alias("id"), lexer.token_set(F.col("html")).alias("tokens"), hrefs(F.col("html")).alias("modules"), paths.url_directories(F.col("url")).alias("dirs")).cache()
+    rows = spread(table(spark, d, "pages").select("page_id", "url", "html")).select(F.col("page_id").alias("id"), lexer.token_set(F.col("html")).alias("tokens"), hrefs(F.col("html")).alias("modules"), paths.url_directories(F.col("url")).alias("dirs"))
+    return written(rows, "page-chunks")
+
+
+def texts(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's id and text, dealt out for lexing if the table is small."""
+    rows = table(spark, d, name)
+    return spread(rows.select(rows.columns[0], "text"))
 
 
 def doc_sets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), lexer.token_set(F.col("text")).alias("tokens"))
+    return texts(spark, d, "documents").select(F.col("doc_id").alias("id"), lexer.token_set(F.col("text")).alias("tokens"))
 
 
 @query
 def lex_tokens(spark, d):
     codes = lexer.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(codes, " ").alias("tokens"))
+    return texts(spark, d, "documents").select("doc_id", F.array_join(codes, " ").alias("tokens"))
 
 
 @query
 def token_class_counts(spark, d):
-    code = table(spark, d, "conversations").select(F.explode(lexer.tokens(F.col("text"))).alias("code"))
+    code = texts(spark, d, "conversations").select(F.explode(lexer.tokens(F.col("text"))).alias("code"))
     return code.groupBy(F.left("code", F.lit(1)).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query
 def keyword_frequency(spark, d):
-    code = table(spark, d, "documents").select(F.explode(lexer.tokens(F.col("text"))).alias("code")).filter(F.startswith("code", F.lit("K:")))
+    code = texts(spark, d, "documents").select(F.explode(lexer.tokens(F.col("text"))).alias("code")).filter(F.startswith("code", F.lit("K:")))
     return code.groupBy(F.substring("code", 3, 100).alias("keyword")).agg(F.count("*").alias("n"))
 
 
 @query
 def comment_lexemes(spark, d):
-    found = table(spark, d, "pages").select("page_id", F.posexplode(F.filter(lexer.lexemes(F.concat_ws("\n", "url", "html")), lexer.is_comment)).alias("pos", "comment"))
+    found = spread(table(spark, d, "pages").select("page_id", "url", "html")).select("page_id", F.posexplode(F.filter(lexer.lexemes(F.concat_ws("\n", "url", "html")), lexer.is_comment)).alias("pos", "comment"))
     return found.select("page_id", F.col("pos").cast("long").alias("pos"), F.length("comment").cast("long").alias("n_chars"))
 
 
@@ -76,20 +84,19 @@ def token_sets(spark, d):
 @query
 def token_set_null(spark, d):
     blank = F.when(F.col("doc_id") % 3 == 0, F.lit(" // nothing but a comment")).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", lexer.token_set(blank).isNull().alias("not_measured"))
+    return texts(spark, d, "documents").select("doc_id", lexer.token_set(blank).isNull().alias("not_measured"))
 
 
 @query
 def token_jaccard(spark, d):
     """Of all documents' distinct token sets, every pair."""
-    of = doc_sets(spark, d).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("n")).cache()
-    both = pairs.side(of, "a").join(pairs.side(of, "b"), F.col("id_a") < F.col("id_b"))
-    return both.select("id_a", "id_b", "n_a", "n_b", sets.jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("similarity"))
+    of = written(doc_sets(spark, d).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("n")), "token-sets")
+    return pairs.paired(of).select("id_a", "id_b", "n_a", "n_b", sets.jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("similarity"))
 
 
 @query
 def similar_pairs(spark, d):
-    return pairs.similar_sets(doc_sets(spark, d).cache())
+    return pairs.similar_sets(doc_sets(spark, d))
 
 
 @query

@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches
+from .common import map_batches, worker_state
 
 NONE = np.int64(2**62)
 #: Odd multiplier of the table of pairs.
@@ -32,8 +31,11 @@ SPREAD = np.int64(0x1E3779B97F4A7C15)
 WIDEST = 64
 #: From here on, versions of Unicode differ about letters, marks and their order.
 FAR_LETTERS = "\u0250"
-#: Cached words of a Python worker's younger and older half, and their longest length.
-CACHED, CACHED_LENGTH = 160_000, 48
+#: Bytes that the younger half of a Python worker's cached words may take, and the longest length of such a word. The older
+#: half was a younger one, so both take at most twice that.
+CACHED_BYTES, CACHED_LENGTH = 16 << 20, 48
+#: Bytes of an entry besides its characters and ids: two objects and a slot.
+ENTRY_BYTES = 200
 
 
 def byte_characters() -> list[str]:
@@ -82,6 +84,7 @@ class Bpe:
         self.one = {k: v[0] for k, v in ranks.items()}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cached = CACHED_BYTES // ENTRY_BYTES
         self.byte_of = {c: b for b, c in enumerate(characters)}
         stages = Tokenizer.from_file(path)
         self.normal, self.pre = stages.normalizer, stages.pre_tokenizer
@@ -225,7 +228,7 @@ class Bpe:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED:
+        if len(self.cache) > self.cached:
             self.older, self.cache = self.cache, {}
         known, older = self.cache, self.older
         parts = {}
@@ -251,10 +254,9 @@ class Bpe:
         return " ".join([tokens[i] for i in ids.tolist()])
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Bpe:
-    """One model and one word cache for each Python worker."""
-    return Bpe(path)
+    """One model and one word cache for each Python worker, as long as it runs tasks of this operator."""
+    return worker_state(("bpe", path), lambda: Bpe(path))
 
 
 def default_tokenizer() -> str:
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
         flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, ids array<int>, decoded string", keeps_state=True)
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -296,4 +298,4 @@ def round_trip_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFra
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps_state=True)

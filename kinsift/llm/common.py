@@ -1,16 +1,41 @@
-"""What the operators of this subpackage share: shared folders, batch sizes, Arrow mapping."""
+"""What the operators of this subpackage share: shared folders, batch sizes, Arrow mapping, the state of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import discard, shared_folder, written
+
+__all__ = ["bounded_batches", "cut", "discard", "map_batches", "map_iterator", "shared_folder", "unused_name", "worker_state", "written"]
+
 #: Rows of an Arrow batch of documents. A batch of texts must fit in a Python worker, and a text may be very long.
 BATCH_ROWS = 512
 
+#: What a Python worker keeps from task to task: the state of one operator. Workers are used again by later stages.
+HELD: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """The state `key` of this Python worker, made when it is first asked for. Another one that the worker held is dropped."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = make()
+    return HELD[key]
+
+
+def give_back() -> None:
+    """Returns what the task before has freed to the system; allocators would keep it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lowers the session's Arrow batch to `rows` if it is larger."""
@@ -20,16 +45,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = f"/tmp/checkpoints/{uuid.uuid4().hex}" if sc.master.startswith("local[") or sc.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder, so that a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
@@ -39,19 +54,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused_name(df: DataFrame) -> str:
+    """A name that no column of the frame has, for one that is added and dropped again."""
+    return f"_{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
+def map_iterator(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps_state: bool = False) -> DataFrame:
+    """mapInArrow for a function of a task's batches. A task that keeps no state of its own first drops what another
+    operator left in its worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield fn(batch)
+        if not keeps_state:
+            HELD.clear()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, keeps_state: bool = False) -> DataFrame:
+    """mapInArrow for a function of one batch."""
+    return map_iterator(df, lambda batches: map(fn, batches), schema, keeps_state)

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, map_batches
+from .common import map_batches, map_iterator
 
 #: Longest context in bytes; documents of a language in the sample.
 ORDER, SAMPLE = 3, 600
 UNIFORM_BITS = 8.0
-#: Bytes that are scored together.
-STRIP = 1 << 20
+#: Bytes that are counted or scored together; a longer text is taken in pieces.
+STRIP = 1 << 17
 
 
 def letters(texts: pa.Array) -> np.ndarray:
@@ -48,19 +48,29 @@ def raw(text: str) -> bytes:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): every run of 1 to ORDER + 1 bytes, packed as its bytes after a leading one."""
+    """(lang, gram, n): every run of 1 to ORDER + 1 bytes, packed as its bytes after a leading one, of strips of texts."""
     for batch in batches:
         for lang in pc.unique(batch.column(0)).to_pylist():
-            texts = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
-            grams = []
-            for text in texts:
-                b = np.frombuffer(raw(text), np.uint8).astype(np.int64)
-                packed = np.ones(len(b), np.int64)
-                for k in range(min(ORDER + 1, len(b))):
-                    packed = packed[: len(b) - k] * 256 + b[k:]
-                    grams.append(packed)
-            found, n = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
+            grams, size = [], 0
+            for text in batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist():
+                data = raw(text)
+                for start in range(0, len(data), STRIP):
+                    b = np.frombuffer(data[start : start + STRIP + ORDER], np.uint8).astype(np.int64)
+                    packed = np.ones(len(b), np.int64)
+                    for k in range(min(ORDER + 1, len(b))):
+                        packed = packed[: len(b) - k] * 256 + b[k:]
+                        grams.append(packed[:STRIP])  # runs that begin in this piece
+                    size += len(b)
+                    if size >= STRIP:
+                        yield counts_of(lang, grams)
+                        grams, size = [], 0
+            if grams:
+                yield counts_of(lang, grams)
+
+
+def counts_of(lang: str, grams: list[np.ndarray]) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate(grams), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
 
 
 def statistics(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> dict[str, dict[int, int]]:
@@ -73,8 +83,7 @@ def statistics(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id"
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2 * sample / n))]), F.col("lang"))
     drawn = rows.withColumn("hash", F.xxhash64("id")).filter(F.pmod("hash", F.lit(1 << 30)) < share * (1 << 30))
     chosen = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", "text"))).filter(F.col("rank") <= sample)
-    bounded_batches(labelled.sparkSession)
-    counts = chosen.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_iterator(chosen.select("lang", "text"), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     out: dict[str, dict[int, int]] = {lang: {} for lang in sizes}
     table = counts.toArrow()
     for lang in out:
@@ -139,25 +148,30 @@ class Ppm:
         for k, g in enumerate(every):  # shorter contexts first: a byte that a language hasn't seen here costs its escape and the rest below
             below = self.cost[row[shorter(g)]] if g >> 8 > 1 else UNIFORM_BITS
             self.cost[k] = np.where(seen[k] > 0, self.cost[k], self.escape[owner[k]] + below)
-        self.cost32, self.escape32 = self.cost.astype(np.float32), self.escape.astype(np.float32)
         self.next, self.gram = self.next.astype(np.int32).ravel(), self.gram.astype(np.int32).ravel()
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text in each language."""
+        """Code length in bits of each text in each language, in double precision. Texts are scored in strips; a piece of a longer
+        one brings the ORDER bytes before it along as its context."""
         out = np.zeros((len(texts), len(self.langs)))
-        strip: list[int] = []
+        strip: list[tuple[int, bytes, int]] = []
         size = 0
         for i, t in enumerate(texts):
-            strip.append(i)
-            size += len(t) + 1
-            if size >= STRIP or i == len(texts) - 1:
-                out[strip] = self.strip_lengths([texts[k] for k in strip])
-                strip, size = [], 0
+            for start in range(0, len(t), STRIP):
+                lead = min(start, ORDER)
+                strip.append((i, t[start - lead : start + STRIP], lead))
+                size += len(strip[-1][1]) + 1
+                if size >= STRIP:
+                    self.add_lengths(out, strip)
+                    strip, size = [], 0
+        if strip:
+            self.add_lengths(out, strip)
         return out
 
-    def strip_lengths(self, texts: list[bytes]) -> np.ndarray:
-        size = np.array([len(t) for t in texts])
-        s = self.symbol[np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)]
+    def add_lengths(self, out: np.ndarray, strip: list[tuple[int, bytes, int]]) -> None:
+        """Adds the code lengths of pieces (text, bytes, bytes of context) to their texts."""
+        size = np.array([len(b) for _, b, _ in strip])
+        s = self.symbol[np.frombuffer(b"\0".join([b for _, b, _ in strip]) + b"\0", np.uint8)]
         ends = np.cumsum(size + 1) - 1
         s[ends] = 0
         w = self.width
@@ -166,26 +180,29 @@ class Ppm:
         for k in range(ORDER):
             state = self.next[state * w + padded[k : k + len(s)]].astype(np.int64)
         gram = self.gram[state * w + s]
-        cost = self.cost32[gram]
+        cost = self.cost[gram]
         late = np.flatnonzero(gram < 0)
         if len(late):
-            extra, at, sym = np.zeros((len(late), len(self.langs)), np.float32), state[late], s[late]
+            extra, at, sym = np.zeros((len(late), len(self.langs))), state[late], s[late]
             todo = np.arange(len(late))
             while len(todo):
                 here = at[todo]
                 g = self.gram[here * w + sym[todo]]
                 hit = g >= 0
-                extra[todo[hit]] += self.cost32[g[hit]]
+                extra[todo[hit]] += self.cost[g[hit]]
                 todo, here = todo[~hit], here[~hit]
-                extra[todo] += self.escape32[here]
+                extra[todo] += self.escape[here]
                 root = here == 0
-                extra[todo[root]] += np.float32(UNIFORM_BITS)
+                extra[todo[root]] += UNIFORM_BITS
                 todo = todo[~root]
                 at[todo] = self.suffix[here[~root]]
             cost[late] = extra
         cost[ends] = 0
         starts = np.concatenate([[0], ends[:-1] + 1])
-        return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+        for (_, _, lead), start in zip(strip, starts.tolist(), strict=True):
+            if lead:
+                cost[start : start + lead] = 0
+        np.add.at(out, [i for i, _, _ in strip], np.add.reduceat(cost, starts, axis=0))
 
     def judge(self, texts: list[str | None], has_letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is in a known language."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CACHED_LENGTH, FAR_LETTERS, default_tokenizer
-from .common import bounded_batches, shared_folder
+from .common import bounded_batches, discard, map_iterator, shared_folder, worker_state
 
 END_ID = 1
 #: Ids that the rolling hash sees; bits of it that are zero at a cut (a cut in 2^10 ids); bounds of a chunk.
@@ -110,9 +110,8 @@ class Encoder:
         return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return worker_state(("encoder", path), lambda: Encoder(path))
 
 
 class Powers:

@@ -33,7 +33,7 @@ def test_edge_rows(spark):
 
 
 def test_random_texts_and_a_small_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED", 50)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 50 * bpe.ENTRY_BYTES)
     model, rng = bpe.Bpe(bpe.default_tokenizer()), random.Random(5)
     for _ in range(30):
         texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(97, 123), 32, rng.randrange(160, 0x250), rng.randrange(0x250, 0x3000)])) for _ in range(rng.randrange(80))) for _ in range(40)]

@@ -2,29 +2,78 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from kinsift.llm import langid
 
 
+class Plain:
+    """Code lengths by walking the contexts of each byte."""
+
+    def __init__(self, counts):
+        self.after = {}
+        for gram, n in counts.items():
+            g = gram.to_bytes((gram.bit_length() + 7) // 8, "big")[1:]
+            self.after.setdefault(g[:-1], {})[g[-1]] = n
+
+    def bits(self, text):
+        data, bits = langid.raw(text), 0.0
+        for i in range(len(data)):
+            for k in range(min(langid.ORDER, i), -2, -1):
+                if k < 0:
+                    bits += 8
+                    break
+                after = self.after.get(data[i - k : i])
+                if not after:
+                    continue
+                total = sum(after.values()) + len(after)
+                if data[i] in after:
+                    bits -= math.log2(after[data[i]] / total)
+                    break
+                bits -= math.log2(len(after) / total)
+        return bits
+
+
 def plain_bits(counts, text):
-    """Code length by walking the contexts of each byte."""
-    data, bits = langid.raw(text), 0.0
-    packed = lambda b: int.from_bytes(b"\x01" + b, "big")
-    for i in range(len(data)):
-        for k in range(min(langid.ORDER, i), -2, -1):
-            if k < 0:
-                bits += 8
-                break
-            context = data[i - k : i]
-            after = {b: counts[g] for b in range(256) if (g := packed(context + bytes([b]))) in counts}
-            if not after:
-                continue
-            total = sum(after.values()) + len(after)
-            if data[i] in after:
-                bits -= math.log2(after[data[i]] / total)
-                break
-            bits -= math.log2(len(after) / total)
-    return bits
+    return Plain(counts).bits(text)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    counts = langid.statistics(langid.learnable(docs))
+    langs = sorted(counts)
+    models = [Plain(counts[x]) for x in langs]
+    got = {r.doc_id: r for r in langid.predictions(docs).collect()}
+    for r in docs.collect():
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        bits = np.array([m.bits(r.text) for m in models])
+        assert got[r.doc_id].lang_pred == langs[bits.argmin()]
+        assert math.isclose(got[r.doc_id].score, 1 / np.exp2(np.clip(bits.min() - bits, -1000, 0)).sum(), rel_tol=1e-6)
+        assert got[r.doc_id].known == (bits.min() < 8 * len(langid.raw(r.text)))
+    assert len(got) == docs.count()
+
+
+def test_strips_change_nothing(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"lang": ["aa", "bb", "aa"], "text": ["abcd" * 30 + "abd", "bcb", "zz"]})
+
+    def counts():
+        out = {}
+        for b in langid.counted([batch]):
+            for lang, gram, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                out.setdefault(lang, {})
+                out[lang][gram] = out[lang].get(gram, 0) + n
+        return out
+
+    large = counts()
+    model = langid.Ppm(large)
+    texts = [b"abcdabcdab" * 40, b"", b"q", b"abc" * 7, b"\0ab"]
+    whole = model.lengths(texts)
+    assert np.allclose(whole, [[Plain(large[x]).bits(t.decode()) for x in model.langs] for t in texts])
+    monkeypatch.setattr(langid, "STRIP", 17)
+    assert np.allclose(model.lengths(texts), whole, rtol=1e-12)
+    assert counts() == large
 
 
 def test_code_lengths_are_exact(spark, sf):
@@ -34,7 +83,7 @@ def test_code_lengths_are_exact(spark, sf):
     texts = [r.text[:300] for r in docs.limit(12).collect()] + ["Ω strange ☃ bytes\x00", "the", "ñ"]
     got = model.lengths([langid.raw(t) for t in texts])
     want = [[plain_bits(counts[lang], t) for lang in model.langs] for t in texts]
-    assert np.allclose(got, want, rtol=1e-5)
+    assert np.allclose(got, want, rtol=1e-10)
 
 
 def test_held_out_accuracy(spark):

@@ -1,11 +1,12 @@
 """Operator 3. Line dedup by a deletion-neighbourhood join. DataFrame functions only.
 
 A line is dropped if an equal line, or one within one edit of it, stands earlier in the corpus, in the order of document
-id and line number; the earliest stays. Lines are compared without the blanks around them. Only lines of at least
-`min_chars` characters are compared with an edit; shorter ones must be equal. One edit inserts, deletes or replaces one
-character. What is earlier need not itself be kept: each of a chain of lines an edit apart gives way to the one before.
+id and line number; the earliest stays. Lines are compared without the blanks around them. One edit inserts, deletes or
+replaces one character. What is earlier need not itself be kept: each of a chain of lines an edit apart gives way to the one
+before.
 
-1. Occurrences are reduced to distinct lines, by hashes, each with its earliest place.
+1. Occurrences are reduced to distinct lines, by hashes of 96 bits, each with its earliest place and its text there. They are
+   written as a table in buckets of these hashes, so that later joins by line move keys, not texts.
 2. Lines within one edit of each other agree on the first or on the last half of their characters (of length // 2 or
    (length - 1) // 2). Distinct lines are grouped by hashes of these halves; a line that shares none of them with another
    can't have a neighbour. That loses none, and leaves few lines.
@@ -15,6 +16,10 @@ character. What is earlier need not itself be kept: each of a chain of lines an
    character; a line that equals another's variant lacks one character of it. Each line meets only the earliest line of
    each such group, not all of its pairs.
 4. The texts of the pairs so found are compared by edit distance.
+5. A line that stays is one distinct line at its earliest place, so documents are put together from the table of distinct
+   lines; the documents' own texts are never moved.
+
+No step depends on the size of the input: every join is by hash, none broadcasts.
 
 With `edits` above one, two lines are near if they are within that many edits. Of `edits` + 1 segments of the shorter line one
 stands unchanged in the longer, at most `edits` characters off; lines are joined by these, and all pairs so found compared.
@@ -22,23 +27,23 @@ That loses none, but a segment that many lines share costs the square of their n
 
 Defined results: a null text has no lines and stays null; blank lines are kept and never compared. A document whose
 lines are all kept keeps its text as it was. Rows that repeat an id are one document each, told apart by a hash of
-their text; of rows that are equal in both, the lines of the one are those of the other, and both are treated alike. A null id sorts first.
-An empty table gives an empty table.
+their text; of rows that are equal in both, one is the earliest and the others lose all their lines. A null id sorts first.
+An empty table gives an empty table. Columns of any other name are kept as they are.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, written
+from .common import cut, discard, shared_folder
 
-MIN_CHARS = 16
 BLANKS = " \t\r"
 #: Parts of a line, outside one of which two lines within an edit agree; the mark of a variant of the longer of two lines.
 SEGMENTS, LONGER = 16, -1
-#: Rows of hashes and places that may be broadcast: some 50 MB.
-BROADCAST_ROWS = 1_000_000
 
 
 def trimmed(line: Column) -> Column:
@@ -49,18 +54,10 @@ def trimmed(line: Column) -> Column:
     return F.when(some, F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(place, line): the lines that are compared, each with where it stands: the document's id, then a hash of its text that
-    tells rows of one id apart, and the line's number."""
-    rows = docs.select("doc_id", F.hash("text").cast("long").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
-    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "raw"))
-    at = F.shiftleft("text_hash", 32) + F.col("pos")
-    return rows.select(F.struct("doc_id", at.alias("at")).alias("place"), trimmed(F.col("raw")).alias("line")).filter("line != ''")
-
-
-def hashed(line: Column) -> list[Column]:
-    """Two hashes, of 96 bits, stand for a line."""
-    return [F.xxhash64(line).alias("a"), F.hash(line).alias("b")]
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, raw): every line of every document."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"))
+    return rows.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "raw"))
 
 
 def half_keys(line: Column, n: Column) -> Column:
@@ -71,17 +68,22 @@ def half_keys(line: Column, n: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(a, b, place, times, halves): each distinct line with its earliest place; halves only of lines that bear an edit."""
-    n = F.char_length("line")
-    rows = places(docs).select("place", *hashed(F.col("line")), F.when(n >= min_chars, half_keys(F.col("line"), n)).alias("halves"))
-    return written(rows.groupBy("a", "b").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")), "distinct-lines")
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(a, b, doc_id, text_hash, pos, raw): each distinct line, by two hashes, with its earliest place and its text there."""
+    rows = raw_lines(docs).withColumn("line", trimmed(F.col("raw"))).filter("line != ''")
+    rows = rows.select(F.xxhash64("line").alias("a"), F.hash("line").alias("b"), F.struct("doc_id", "text_hash", "pos", "raw").alias("first"))
+    return bucketed(rows.groupBy("a", "b").agg(F.min("first").alias("first")).select("a", "b", "first.*"))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it is counted to have at most BROADCAST_ROWS rows of a few numbers; else it is shuffled."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def bucketed(df: DataFrame) -> DataFrame:
+    """The frame, grouped by (a, b), as a table in as many buckets as the shuffle that grouped it had partitions: a task writes
+    whole buckets, and joins on (a, b) read them where they are."""
+    spark = df.sparkSession
+    name, path = f"distinct_lines_{uuid.uuid4().hex}", f"{shared_folder(spark)}/distinct-lines-{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, "a", "b").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    discard(spark, path, at_exit=True)
+    return spark.table(name)
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -101,17 +103,17 @@ def segments(lines: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_pairs(distinct: DataFrame) -> DataFrame:
     """(key, earlier): distinct lines, as hashes, with an earlier line within one edit."""
-    halves = firsts.select("a", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least != most").select("half")
-    some = sized(halves.join(shared, "half", "left_semi").select("a").distinct())
-    places_of = firsts.join(some, "a", "left_semi").select("a", "b", "place")
-    texts = places(docs).filter(F.char_length("line") > 0).select("line", *hashed(F.col("line"))).join(some, "a", "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
-    lines = cut(texts.join(places_of, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
+    line = trimmed(F.col("raw"))
+    halves = distinct.select("a", "b", line.alias("line")).select("a", "b", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("half"))
+    key = F.struct("a", "b")
+    shared = halves.groupBy("half").agg(F.min(key).alias("least"), F.max(key).alias("most")).filter("least != most").select("half")
+    some = halves.join(shared, "half", "left_semi").select("a", "b").distinct()
+    lines = cut(distinct.join(some, ["a", "b"], "left_semi").select(key.alias("key"), F.struct("doc_id", "text_hash", "pos").alias("place"), line.alias("line")))
 
     pieces = segments(lines)
-    met = sized(pieces.groupBy("segment").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("segment"))
+    met = pieces.groupBy("segment").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("segment")
     pieces = pieces.join(met, "segment", "left_semi")
     n = F.char_length("middle")
     variant = lambda i: F.struct(F.when(F.col("longer"), F.lit(LONGER)).otherwise(i).alias("left_out"), F.xxhash64("segment", F.concat(F.left("middle", i - 1), F.substr("middle", i + 1, n))).alias("variant"))
@@ -134,11 +136,9 @@ def near_pairs(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return verified.select("key", "earlier")
 
 
-def pairs_within(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """(key, earlier): distinct lines, as hashes, with each earlier line within `edits` edits, of those that bear an edit."""
-    some = firsts.filter("halves is not null").select("a", "b", "place")
-    texts = places(docs).select("line", *hashed(F.col("line"))).join(some.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("line").alias("line"))
-    lines = cut(texts.join(some, ["a", "b"]).select(F.struct("a", "b").alias("key"), "place", "line"))
+def pairs_within(distinct: DataFrame, edits: int) -> DataFrame:
+    """(key, earlier): distinct lines, as hashes, with each earlier line within `edits` edits."""
+    lines = cut(distinct.select(F.struct("a", "b").alias("key"), F.struct("doc_id", "text_hash", "pos").alias("place"), trimmed(F.col("raw")).alias("line")))
     own = F.char_length("line")
 
     def parts(off: Column, shifts: range) -> DataFrame:
@@ -155,52 +155,57 @@ def pairs_within(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     return met.select(F.when(one_first, F.col("other.key")).otherwise(F.col("one.key")).alias("key"), F.when(one_first, F.col("one.key")).otherwise(F.col("other.key")).alias("earlier")).distinct()
 
 
-def dropped(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
-    """(place): every line that gives way to an earlier one."""
-    firsts = distinct_lines(docs, min_chars)
-    near = near_pairs(docs, firsts) if edits == 1 else pairs_within(docs, firsts, edits)
-    gone = sized(near.select("key.a", "key.b").distinct().withColumn("near", F.lit(True)))
-    # Lines that occur once and have no neighbour need no second look.
-    repeated = firsts.select("a", "b", F.col("place").alias("first"), "times").join(gone, ["a", "b"], "left").filter("near or times > 1")
-    repeated = sized(repeated.select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    return places(docs).select("place", *hashed(F.col("line"))).join(repeated, ["a", "b"]).filter("near or not (place <=> first)").select("place")
+def kept_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """(doc_id, text_hash, pos, raw, counts): the lines that stay; blank lines are among them and don't count."""
+    distinct = distinct_lines(docs)
+    near = near_pairs(distinct) if edits == 1 else pairs_within(distinct, edits)
+    stay = distinct.join(near.select("key.a", "key.b").distinct(), ["a", "b"], "left_anti") if edits else distinct
+    blank = raw_lines(docs).filter(trimmed(F.col("raw")) == "")
+    return stay.select("doc_id", "text_hash", "pos", "raw", F.lit(1).alias("counts")).unionByName(blank.select("*", F.lit(0).alias("counts")))
 
 
-def judged(docs: DataFrame, min_chars: int, edits: int = 1) -> DataFrame:
-    """The rows of `docs` with what is left of their texts, and __n_lines and __n_kept; blank lines count in neither."""
-    gone = dropped(docs, min_chars, edits).select(F.col("place.doc_id").alias("__id"), F.shiftright("place.at", 32).cast("int").alias("__hash"), F.col("place.at").bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int").alias("pos"))
-    gone = gone.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__hash")), "left")
+def judged(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """(row, text, n_lines, n_kept): the rows of `docs` as structs, with what is left of their texts; blank lines count in neither
+    number."""
+    whole = kept_lines(docs, edits).repartition("doc_id", "text_hash").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "raw"))).alias("left"), F.sum("counts").alias("n_kept"))
+    whole = whole.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.array_join("left.raw", "\n").alias("left"), "n_kept")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     n = F.coalesce(F.size(F.filter(lines, lambda x: trimmed(x) != "")), F.lit(0))
-    return joined.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        n.cast("long").alias("__n_lines"),
-        (n - F.coalesce(F.size("__gone"), F.lit(0))).cast("long").alias("__n_kept"),
-    )
+    blank = F.array_join(F.filter(lines, lambda x: trimmed(x) == ""), "\n")
+    bare = [F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    one = Window.partitionBy("id", "hash").orderBy("id")
+    rows = docs.select(F.struct(*bare).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("none"), n.cast("long").alias("n_lines"), blank.alias("blank"))
+    rows = rows.withColumn("copy", F.row_number().over(one))
+    joined = rows.join(whole.withColumnsRenamed({"id": "id_", "hash": "hash_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left")
+    text = F.when(F.col("none"), F.lit(None)).when(F.col("copy") > 1, F.col("blank")).otherwise(F.coalesce("left", F.lit("")))
+    return joined.select("row", text.alias("text"), "n_lines", F.when(F.col("copy") > 1, F.lit(0)).otherwise(F.coalesce("n_kept", F.lit(0))).cast("long").alias("n_kept"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = 1) -> DataFrame:
     """The rows of `docs` with what is left of their texts, and n_lines and n_kept in place of columns of these names."""
-    return judged(docs.drop("n_lines", "n_kept"), min_chars, edits).withColumnsRenamed({"__n_lines": "n_lines", "__n_kept": "n_kept"})
+    docs = docs.drop("n_lines", "n_kept")
+    return judged(docs, edits).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "n_lines", "n_kept")
 
 
-def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = 1) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 1) -> DataFrame:
     """The rows of `docs` with the columns they had; n_chars is that of what is left. Documents that had lines and kept none go."""
-    rest = judged(docs, min_chars, edits).filter("__n_kept > 0 or __n_lines = 0")
+    rest = judged(docs, edits).filter("n_kept > 0 or n_lines = 0")
+    of = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+        of["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rest.select(*[of[c] if c in of else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 t AS (SELECT doc_id, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l),
 d AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM t WHERE line <> '' GROUP BY line),
-h AS (SELECT *, 'a' || left(line, k) AS half, k FROM d, LATERAL (SELECT unnest([n // 2, (n - 1) // 2]) AS k) WHERE n >= 16
-  UNION ALL SELECT *, 'z' || right(line, k) AS half, k FROM d, LATERAL (SELECT unnest([n // 2, (n - 1) // 2]) AS k) WHERE n >= 16),
-near AS (SELECT DISTINCT x.line FROM h x JOIN h y ON x.half = y.half AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) = 1),
+h AS (SELECT *, 'a' || left(line, k) AS half, k FROM d, LATERAL (SELECT unnest([n // 2, (n - 1) // 2]) AS k)
+  UNION ALL SELECT *, 'z' || right(line, k) AS half, k FROM d, LATERAL (SELECT unnest([n // 2, (n - 1) // 2]) AS k)),
+near AS (SELECT DISTINCT x.line FROM h x JOIN h y ON x.half = y.half AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 4 -- of bytes, of which a character has four at most
+  WHERE CASE x.n - y.n WHEN 0 THEN len(list_filter(range(1, x.n + 1), lambda i: x.line[i] <> y.line[i])) = 1
+    WHEN 1 THEN list_contains(list_transform(range(1, x.n + 1), lambda i: left(x.line, i - 1) || substr(x.line, i + 1)), y.line)
+    ELSE list_contains(list_transform(range(1, y.n + 1), lambda i: left(y.line, i - 1) || substr(y.line, i + 1)), x.line) END),
 kept AS (SELECT t.doc_id, t.pos, t.raw, t.line FROM t LEFT JOIN d ON t.line = d.line
   WHERE t.line = '' OR ((t.doc_id, t.pos) = d.first AND t.line NOT IN (SELECT line FROM near)))
 SELECT o.doc_id, coalesce(a.n_lines, 0) AS n_lines, coalesce(b.n_kept, 0) AS n_kept,

@@ -11,7 +11,7 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def plain(rows, min_chars=L.MIN_CHARS):
+def plain(rows):
     """Every line against every earlier line."""
     before, out = [], []
     for k, text in sorted(rows):
@@ -22,7 +22,7 @@ def plain(rows, min_chars=L.MIN_CHARS):
                 left.append(raw)
                 continue
             n += 1
-            if not any(line == e or (min(len(line), len(e)) >= min_chars and within_one(line, e)) for e in before):
+            if not any(within_one(line, e) for e in before):
                 left.append(raw)
                 kept += 1
             before.append(line)
@@ -35,7 +35,7 @@ def found(df):
 
 
 def test_edits_against_brute_force(spark):
-    base = ["the quick brown fox jumps", "aaaaaaaaaaaaaaaaaaaa", "ñandú über straße ñandú", "short line"]
+    base = ["the quick brown fox jumps", "aaaaaaaaaaaaaaaaaaaa", "ñandú über straße ñandú", "short line", "abc", "q", "☃", "no"]
     lines = []
     for b in base:
         for i in (0, 1, len(b) // 2 - 1, len(b) // 2, len(b) - 1, len(b)):
@@ -47,20 +47,28 @@ def test_edits_against_brute_force(spark):
 
 def test_edge_rows(spark):
     long = "long line " * 3000
-    rows = [(3, None, 1), (1, "", 2), (2, "a\r\n\n  \nb\n", 3), (4, "b\na\n\nc", 4), (5, long, 5), (6, long[:-2] + "X ", 6), (7, "a\nb", 7), (None, "c\nnew", 8), (8, "same\nsame", 9)]
-    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, n_chars int, n_lines string")
+    rows = [(3, None, 1), (1, "", 2), (2, "apple\r\n\n  \nberry\n", 3), (4, "berry\napple\n\nclove", 4), (5, long, 5), (6, long[:-2] + "X ", 6), (7, "apple\nberry", 7), (None, "clove\nnew line", 8), (8, "same\nsame", 9)]
+    docs = spark.createDataFrame([(*r, "k", "x", 7, "y") for r in rows], "doc_id long, text string, n_chars int, n_lines string, __gone string, row int, hash string")
     got = {r.doc_id: r for r in L.deduplicated(docs).collect()}
     assert len(got) == 9 and got[3].text is None and got[3].n_lines == 0
-    assert got[2].text == "a\r\n\n  \nb\n" and got[7].text == "" and got[7].n_kept == 0
-    assert got[6].n_kept == 0 and got[5].n_kept == 1 and got[None].text == "c\nnew" and got[4].text == "" and got[8].text == "same"
-    rest = {r.doc_id: r for r in L.without_repeats(docs).collect()}
-    assert set(rest) == {3, 1, 2, 5, None, 8} and rest[8].n_chars == 4 and rest[8].n_lines == "k"
+    assert got[2].text == "apple\r\n\n  \nberry\n" and got[7].text == "" and got[7].n_kept == 0 and got[7]["__gone"] == "x" and got[7].row == 7
+    assert got[6].n_kept == 0 and got[5].n_kept == 1 and got[None].text == "clove\nnew line" and got[4].text == "" and got[8].text == "same"
+    out = L.without_repeats(docs)
+    rest = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and set(rest) == {3, 1, 2, 5, None, 8} and rest[8].n_chars == 4 and rest[8].n_lines == "k" and rest[8].hash == "y"
 
 
 def test_repeated_ids_and_empty(spark):
-    docs = spark.createDataFrame([(1, "x1"), (1, "x2"), (1, "x2")], "doc_id long, text string")
-    assert sorted(r.text for r in L.deduplicated(docs).collect())[0] == "x1" and L.deduplicated(docs).count() == 3
+    docs = spark.createDataFrame([(1, "first line"), (1, "other words"), (1, "other words"), (2, "other words\n\nmore"), (2, "other words\n\nmore"), (3, None), (3, None), (None, "null id"), (None, "null id")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text or "", r.n_kept) for r in L.deduplicated(docs).collect()))
+    assert got == [(0, "", 0), (0, "null id", 1), (1, "", 0), (1, "first line", 1), (1, "other words", 1), (2, "", 0), (2, "\nmore", 1), (3, "", 0), (3, "", 0)]
     assert L.deduplicated(docs.filter("false")).collect() == []
+    assert L.without_repeats(docs.filter("false")).columns == docs.columns
+
+
+def test_a_counter_and_a_hot_line_lose_no_link(spark):
+    rows = [(i, f"entry {i:04d} of the same list\nstanding line") for i in range(300)] + [(1000 + i, "standing line") for i in range(300)]
+    assert found(L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
 
 def test_native_plan(spark, sf):
@@ -91,7 +99,7 @@ def test_wider_edit_bounds_against_brute_force(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     kept = []
     for edits in (0, 1, 2, 3):
-        want = [x for i, x in enumerate(lines) if not any(x == e or (min(len(x), len(e)) >= L.MIN_CHARS and distance(x, e) <= edits) for e in lines[:i])]
+        want = [x for i, x in enumerate(lines) if not any(distance(x, e) <= edits for e in lines[:i])]
         assert [r[3] for r in found(L.deduplicated(docs, edits=edits)) if r[2]] == want
         kept.append(len(want))
     assert kept == sorted(set(kept), reverse=True)

@@ -5,12 +5,13 @@ value. Two values that differ in at most `budget` bits agree on one of budget +
 groups of its blocks, and in each group a binary trie of the remaining bits is joined with itself. Pairs of nodes are
 walked together, one bit at a time; a pair adds one to its differing bits where the children's bits differ, and is
 pruned once the budget is exceeded. A group of more than `hot` values is divided again in the same way by its remaining
-bits, so no task gets an unbounded group and no link is lost. Links are contracted in large-star and small-star rounds
-whose frames are checkpointed.
+bits, so no task gets an unbounded group and no link is lost. Links are contracted in large-star and small-star rounds, until
+one changes nothing; their frames are checkpointed. Rows get the name of their value's component by a join; the values
+that more than a thousandth of all rows have, of which there are fewer than a thousand, by a broadcast one.
 
 Defined results: a null text has no words; its fingerprint is zero, and zero is linked like any other value. Repeated
 rows give repeated rows; a null id stays in the result and never names a component unless all its ids are null.
-An empty table gives an empty table. Columns other than the id and the text are not read.
+An empty table gives an empty table. Columns other than the id and the text are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, cut, map_batches, written
+from .common import cut, map_batches, map_iterator, unused_name, written
 
 SHINGLE, SEED, BITS = 3, 42, 64
 #: Pairs of trie nodes that are walked at once.
 FRONTIER = 200_000
 #: Values of a chunk of groups.
 CHUNK = 20_000
+#: A value is hot if over one in so many rows has it, and over so many rows.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str) -> int:
@@ -119,8 +122,9 @@ def turned(bits: Column, rest: Column, by: Column) -> Column:
     return bits.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(moved)
 
 
-def links(values: DataFrame, budget: int = 2, hot: int = CHUNK) -> DataFrame:
-    """(a, b): pairs of the distinct values fp that differ in at most `budget` bits; a pair may come more than once."""
+def links(values: DataFrame, budget: int = 2, hot: int = CHUNK, stars: bool = False) -> DataFrame:
+    """(a, b): pairs of the distinct values fp that differ in at most `budget` bits; a pair may come more than once. With `stars`,
+    links of the same components instead: those that a task finds are contracted where they are found."""
     rows = divided(values.select("fp", F.lit(0).cast("long").alias("path"), F.lit(0).alias("depth"), F.col("fp").alias("bits")), budget + 1)
     prefix = F.call_function("shiftrightunsigned", F.col("bits"), F.lit(BITS) - F.col("depth"))
     found = None
@@ -130,9 +134,8 @@ def links(values: DataFrame, budget: int = 2, hot: int = CHUNK) -> DataFrame:
         heavy = cut(heavy)
         more = not heavy.isEmpty()
         light = rows.join(heavy, ["path", "prefix"], "left_anti") if more else rows
-        bounded_batches(values.sparkSession)
         dealt = light.repartition("path", "prefix").sortWithinPartitions("path", "prefix").select("path", "prefix", "depth", "bits", "fp")
-        pairs = dealt.mapInArrow(lambda batches: joined_groups(batches, budget), "a long, b long")
+        pairs = map_iterator(dealt, lambda batches: contracted(joined_groups(batches, budget)) if stars else joined_groups(batches, budget), "a long, b long")
         found = pairs if found is None else found.unionByName(pairs)
         if not more:
             return found
@@ -193,11 +196,11 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node of the links (a, b) but the smallest of its component, with that smallest."""
-    edges = cut(edges.mapInArrow(contracted, "a long, b long").distinct())
+    edges = cut(edges.distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a node goes to the smallest of its neighbours and itself.
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -210,19 +213,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == state:
             return edges
         state = now
-    raise RuntimeError(f"components haven't settled in {rounds} rounds")
 
 
 def groups(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the smallest id that is reached from each row over links of its fingerprint, its own included."""
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    ends = components(links(classes.select("fp"), budget))
-    whole = classes.join(ends.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "least")
+    classes = fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
+    ends = components(links(classes.select("fp"), budget, stars=True))
+    whole = classes.join(ends.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "least", "n")
     linked = whole.join(ends.select("b").distinct().withColumnRenamed("b", "root"), "root", "left_semi")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = whole.join(names, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp", "left").select(id_col, "fp", "component_id")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    named = cut(whole.join(names, "root", "left").select("fp", "n", F.coalesce("name", "least").alias("component_id")))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col("n") > max(HOT_SHARE, total // HOT_SHARE)).select("fp", "component_id"))  # fewer than HOT_SHARE rows
+    rest = fps.join(hot, "fp", "left_anti").join(named.select("fp", "component_id"), "fp", "left")
+    return fps.join(hot, "fp").unionByName(rest).select(F.col(id_col), "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
@@ -233,7 +238,8 @@ def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, one for each component: that of its smallest id. Rows with one id count as one document, of
     which the first text stays; rows without an id stay."""
-    kept = groups(docs, budget, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    rank = unused_name(docs)
+    kept = groups(docs.select(id_col, text_col), budget, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     one = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    stay = docs.join(kept, id_col, "left_semi").withColumn("__rank", F.row_number().over(one)).filter("__rank = 1").drop("__rank")
+    stay = docs.join(kept, id_col, "left_semi").withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).drop(rank)
     return stay.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -48,12 +48,20 @@ def test_query_equals_brute_force(spark, sf):
 def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (3, ""), (9, " \n"), (None, "a b"), (4, "A  B"), (7, "a b"), (8, "x"), (8, "x"), (1, long), (2, long + " end"), (6, "ÀB c d"), (10, "àb c d"), (None, None)]
-    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, fp string, component_id int")
+    docs = spark.createDataFrame([(k, t, "x", 1, 2, "r") for k, t in rows], "doc_id long, text string, fp string, component_id int, __rank int, root string")
     assert found(simhash.near_duplicates(docs)) == plain_components(rows)
+    assert simhash.keep_one(docs).columns == docs.columns
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(docs).collect())
     assert kept == [(False, 1), (False, 3), (False, 4), (False, 6), (False, 8), (False, 10), (True, 0), (True, 0)]
 
 
+def test_a_hot_value_is_named_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 3)
+    rows = [(i, "the same words again" if i % 3 else f"own words of {i} alone") for i in range(40, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(simhash.near_duplicates(docs)) == plain_components(rows)
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,10 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(cores) if size < cores * split else df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs whose results are written: Spark deletes them once the driver has collected what
+    refers to them, which by itself it does every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import free_shuffles
 from .common import cut, discard, shared_folder
 
 BLANKS = " \t\r"
@@ -83,6 +84,7 @@ def bucketed(df: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, "a", "b").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     discard(spark, path, at_exit=True)
+    free_shuffles(spark)  # those of whole texts
     return spark.table(name)
 
 
@@ -111,6 +113,7 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min(key).alias("least"), F.max(key).alias("most")).filter("least != most").select("half")
     some = halves.join(shared, "half", "left_semi").select("a", "b").distinct()
     lines = cut(distinct.join(some, ["a", "b"], "left_semi").select(key.alias("key"), F.struct("doc_id", "text_hash", "pos").alias("place"), line.alias("line")))
+    free_shuffles(lines.sparkSession)
 
     pieces = segments(lines)
     met = pieces.groupBy("segment").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("segment")
@@ -120,6 +123,7 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     itself = F.when(~F.col("longer"), F.array(F.struct(F.lit(0).alias("left_out"), F.xxhash64("segment", "middle").alias("variant")))).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
     without = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), variant)).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
     emitted = cut(pieces.select("key", "place", F.explode(F.concat(itself, without)).alias("v")).select("key", "place", "v.*").distinct())
+    free_shuffles(lines.sparkSession)
     member = F.struct("place", "key")
     # A replaced character: the same place left out.
     replaced = emitted.filter("left_out > 0").groupBy("variant", "left_out").agg(F.min(member).alias("one"), F.max(member).alias("other")).filter("one != other")
@@ -133,7 +137,9 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     found = by_replacing.unionByName(shorter_goes).unionByName(longer_go).filter("one.place < place").select("key", F.col("one.key").alias("earlier")).distinct()
     text = lambda as_: lines.select(F.col("key").alias(as_), F.col("line").alias(f"{as_}_line"))
     verified = found.join(text("key"), "key").join(text("earlier"), "earlier").filter((F.levenshtein("key_line", "earlier_line", 1) >= 0) & (F.col("key_line") != F.col("earlier_line")))
-    return verified.select("key", "earlier")
+    verified = cut(verified.select("key", "earlier"))
+    free_shuffles(lines.sparkSession)
+    return verified
 
 
 def pairs_within(distinct: DataFrame, edits: int) -> DataFrame:

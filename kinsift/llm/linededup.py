@@ -10,7 +10,7 @@ before.
 2. Lines within one edit of each other agree on the first or on the last half of their characters (of length // 2 or
    (length - 1) // 2). Distinct lines are grouped by hashes of these halves; a line that shares none of them with another
    can't have a neighbour. That loses none, and leaves few lines.
-3. The same again, finer, for those: of 16 segments, two lines within one edit agree outside one. Those that share all but a
+3. The same again, finer, for those: of up to 16 segments, two lines within one edit agree outside one. Those that share all but a
    segment with another emit the deletion neighbourhood of that segment: itself and every variant with one character left
    out, as keys hashed with what is outside. Lines of an equal variant that left out the same place differ in one replaced
    character; a line that equals another's variant lacks one character of it. Each line meets only the earliest line of
@@ -43,8 +43,9 @@ from ..storage import free_shuffles
 from .common import cut, discard, shared_folder
 
 BLANKS = " \t\r"
-#: Parts of a line, outside one of which two lines within an edit agree; the mark of a variant of the longer of two lines.
-SEGMENTS, LONGER = 16, -1
+#: Parts of a line at most, outside one of which two lines within an edit agree, and characters for each; the mark of a variant
+#: of the longer of two lines.
+SEGMENTS, SEGMENT_CHARS, LONGER = 16, 8, -1
 
 
 def trimmed(line: Column) -> Column:
@@ -88,42 +89,49 @@ def bucketed(df: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """(key, place, longer, middle, segment): of each line, all but one segment hashed, for each segment. Segments are those of
-    n characters, n being the line's own length or, for its part as the longer of two lines, one less. Lines within an edit
-    share the hash of what is outside the edit's segment."""
+def segment_codes(own: Column) -> Column:
+    """A code for each piece of a line of `own` characters: twice the segment's number, and one more for the line's part as the
+    longer of two. There is a segment for SEGMENT_CHARS characters, one at least and SEGMENTS at most."""
+    of = lambda n, turn: F.transform(F.sequence(F.lit(0), segment_count(n) - 1), lambda j: 2 * j + turn)
+    return F.concat(of(own, 0), of(own - 1, 1))
+
+
+def segment_count(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), F.floor(n / SEGMENT_CHARS).cast("int")))
+
+
+def pieces_of(lines: DataFrame) -> DataFrame:
+    """Adds longer, middle and segment to lines with a `code`: a line's part inside the segment, and a hash of all the rest of
+    it. Segments are those of n characters, n being the line's own length or, for its part as the longer of two lines, one
+    less. Lines within an edit share the hash of what is outside the edit's segment."""
     own = F.char_length("line")
-    each = lines.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("longer"))
-    each = each.withColumn("n", F.when(F.col("longer"), own - 1).otherwise(own)).select("*", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("j"))
-    each = each.withColumns({"from": F.expr(f"cast(cast(j as long) * n div {SEGMENTS} as int)"), "rest": F.expr(f"cast(n - (cast(j as long) + 1) * n div {SEGMENTS} as int)")})
-    return each.select(
-        "key",
-        "place",
-        "longer",
-        F.substr("line", F.col("from") + 1, own - F.col("from") - F.col("rest")).alias("middle"),
-        F.xxhash64("n", "j", F.left("line", "from"), F.right("line", "rest")).alias("segment"),
-    )
+    each = lines.withColumns({"longer": F.col("code") % 2 == 1, "j": F.expr("cast(code div 2 as long)")}).withColumn("n", F.when(F.col("longer"), own - 1).otherwise(own))
+    each = each.withColumn("count", segment_count(F.col("n")))
+    each = each.withColumns({"from": F.expr("cast(j * n div count as int)"), "rest": F.expr("cast(n - (j + 1) * n div count as int)")})
+    middle = F.substr("line", F.col("from") + 1, own - F.col("from") - F.col("rest"))
+    return each.withColumns({"middle": middle, "segment": F.xxhash64("n", "j", F.left("line", "from"), F.right("line", "rest"))})
 
 
 def near_pairs(distinct: DataFrame) -> DataFrame:
     """(key, earlier): distinct lines, as hashes, with an earlier line within one edit."""
-    line = trimmed(F.col("raw"))
+    spark, line = distinct.sparkSession, trimmed(F.col("raw"))
     halves = distinct.select("a", "b", line.alias("line")).select("a", "b", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("half"))
-    key = F.struct("a", "b")
-    shared = halves.groupBy("half").agg(F.min(key).alias("least"), F.max(key).alias("most")).filter("least != most").select("half")
+    shared = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least != most").select("half")
     some = halves.join(shared, "half", "left_semi").select("a", "b").distinct()
-    lines = cut(distinct.join(some, ["a", "b"], "left_semi").select(key.alias("key"), F.struct("doc_id", "text_hash", "pos").alias("place"), line.alias("line")))
-    free_shuffles(lines.sparkSession)
-
-    pieces = segments(lines)
-    met = pieces.groupBy("segment").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("segment")
-    pieces = pieces.join(met, "segment", "left_semi")
+    lines = cut(distinct.join(some, ["a", "b"], "left_semi").select("a", F.struct("a", "b").alias("key"), F.struct("doc_id", "text_hash", "pos").alias("place"), line.alias("line")))
+    free_shuffles(spark)
+
+    # Hashes alone tell which pieces meet another line's; the texts follow those.
+    slim = pieces_of(lines.select("a", "line", F.explode(segment_codes(F.char_length("line"))).alias("code"))).select("a", "code", "segment")
+    met = slim.groupBy("segment").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least != most").select("segment")
+    alive = slim.join(met, "segment", "left_semi").groupBy("a").agg(F.collect_set("code").alias("codes"))
+    pieces = pieces_of(lines.join(alive, "a").select("key", "place", "line", F.explode("codes").alias("code")))
     n = F.char_length("middle")
     variant = lambda i: F.struct(F.when(F.col("longer"), F.lit(LONGER)).otherwise(i).alias("left_out"), F.xxhash64("segment", F.concat(F.left("middle", i - 1), F.substr("middle", i + 1, n))).alias("variant"))
     itself = F.when(~F.col("longer"), F.array(F.struct(F.lit(0).alias("left_out"), F.xxhash64("segment", "middle").alias("variant")))).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
     without = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), variant)).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
     emitted = cut(pieces.select("key", "place", F.explode(F.concat(itself, without)).alias("v")).select("key", "place", "v.*").distinct())
-    free_shuffles(lines.sparkSession)
+    free_shuffles(spark)
     member = F.struct("place", "key")
     # A replaced character: the same place left out.
     replaced = emitted.filter("left_out > 0").groupBy("variant", "left_out").agg(F.min(member).alias("one"), F.max(member).alias("other")).filter("one != other")
@@ -138,7 +146,7 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     text = lambda as_: lines.select(F.col("key").alias(as_), F.col("line").alias(f"{as_}_line"))
     verified = found.join(text("key"), "key").join(text("earlier"), "earlier").filter((F.levenshtein("key_line", "earlier_line", 1) >= 0) & (F.col("key_line") != F.col("earlier_line")))
     verified = cut(verified.select("key", "earlier"))
-    free_shuffles(lines.sparkSession)
+    free_shuffles(spark)
     return verified
 
 

@@ -1,15 +1,22 @@
 """Operator 4. HTML extraction with site template removal.
 
-Pages are parsed into elements; inline elements belong to the text around them. A subtree is hashed by its source. In
-Spark, subtrees are counted per host by the distinct parents they stand in: a template stands in a different page each
-time, while what is inside a copied part always has the same parent. Subtrees that recur in `min_parents` parents of a host
-are deleted from its pages. Prose inside an article element is left alone: copies and quotations recur too, and only a
-template's place outside the article, or its links, tell it from them. On a page without an article what is in main counts
-like the rest of the body.
+Pages are parsed into elements; inline elements belong to the text around them. Every subtree outside an article is hashed
+twice: by its source, and by its shape, which is the tags, classes and ids from the root to it and of the elements in it,
+without any text. In Spark, hashes are counted per host, and what recurs on many pages of a host is deleted from them:
 
-Beside that go elements that are no article by their meaning: scripts, styles, forms, menus, asides, footers, headers
-outside the article, hidden elements, and those whose class, id or role names adverts, notices, comments and the like.
-What is left of the article elements is the text; without any, of main; without that, of the body.
+  by source  a subtree that stands in as many different parents as a template must. A template stands in a different page
+             each time, while what is inside a copied part always has the same parent.
+  by shape   a container without headings whose shape stands on as many different pages, and that holds a small share of
+             the text of the host's pages: menus, adverts and footers whose words change from page to page.
+
+That is many pages if they are at least `share` of the host's different pages, and at least `least`. Prose inside an article
+element is left alone: copies and quotations recur too, and only a template's place outside the article, or its links, tell
+it from them. On a page without an article what is in main counts like the rest of the body, but for its shape.
+
+What recurrence doesn't decide, as on a host of few pages, meaning does: scripts, styles, forms, menus, asides, footers, headers
+outside the article, hidden elements, and those whose class, id or role names adverts, notices, comments and the like go.
+What is left of the article elements is the text; without any, of main; without that, of the body. With `meaning` off, only
+recurrence decides, and of the list only what holds no text of the page, such as scripts, goes.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed, empty ones left out,
 and the others joined by line feeds in page order. br is white space.
@@ -31,14 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, written
+from .common import cut, map_batches, written
 from .url_filter import address
 
-MIN_PARENTS, BROADCAST_ROWS = 10, 200_000
+#: Pages of a template: at least so many, and at least this share of a host's different pages; the largest share of a host's
+#: text in elements that go by their shape; rows of (host, hash) that may be broadcast: some 20 MB.
+LEAST_PAGES, SHARE, TEXT_SHARE, BROADCAST_ROWS = 3, 0.05, 0.05, 200_000
 
 #: Elements of HTML by their meaning.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+TEXTLESS = frozenset("head title script style noscript template iframe object svg canvas audio video map noembed noframes select option textarea button".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
 OUT = frozenset("head script style title noscript template iframe object svg canvas nav footer aside form input button select textarea label fieldset dialog menu audio video map".split())
 CLOSES = {
@@ -63,6 +73,9 @@ TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+>?|(/?)([a-zA-Z][
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 SPLIT = re.compile(r"[^a-z]+")
 LAYOUT = frozenset(["html", "body", "main", "article"])
+#: Elements that hold other blocks, and headings.
+CONTAINERS = frozenset("nav header footer aside div section ul ol dl table form fieldset details figure menu address center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element(NamedTuple):
@@ -73,6 +86,8 @@ class Element(NamedTuple):
     """No article by its meaning, or inside such an element."""
     article: bool
     main: bool
+    name: str
+    """The tag with its classes and id."""
 
 
 class Page:
@@ -80,7 +95,7 @@ class Page:
 
     def __init__(self, html: str):
         self.html = html
-        self.elements = [Element("", 0, -1, False, False, False)]
+        self.elements = [Element("", 0, -1, False, False, False, "")]
         self.ends = [len(html)]
         self.links = [0]
         self.chars = [0]
@@ -111,7 +126,10 @@ class Page:
                         if self.elements[i].tag == tag:
                             break
                 continue
-            out = tag in OUT or bool(attributes) and named_out(tag, attributes)
+            out, name = tag in OUT, tag
+            if attributes:
+                named, words = described(tag, attributes)
+                out, name = out or named, f"{tag}.{words}" if words else tag
             if tag in INLINE and not out:
                 if tag == "br":
                     self.text.append(" ")
@@ -138,7 +156,7 @@ class Page:
             above = self.elements[stack[-1]]
             if tag == "header" and not (above.article or above.main):
                 out = True
-            self.elements.append(Element(tag, m.start(), stack[-1], out or above.out, tag == "article" or above.article, tag == "main" or above.main))
+            self.elements.append(Element(tag, m.start(), stack[-1], out or above.out, tag == "article" or above.article, tag == "main" or above.main, name))
             self.ends.append(n)
             self.links.append(0)
             self.chars.append(0)
@@ -149,9 +167,9 @@ class Page:
         self.flush(stack[-1])
 
     def add(self, raw: str, at: int) -> None:
-        if not self.elements[at].out:
+        if self.elements[at].tag not in TEXTLESS:
             self.text.append(unescape(raw) if "&" in raw else raw)
-        self.chars[at] += len(raw)
+            self.chars[at] += len(raw) if raw.strip() else 0
 
     def flush(self, at: int) -> None:
         if self.text:
@@ -160,79 +178,138 @@ class Page:
                 self.blocks.append((at, block))
             self.text = []
 
+    def gathered(self, own: list[int]) -> list[int]:
+        """Sums over each element and all in it."""
+        sums = own.copy()
+        for i in range(len(self.elements) - 1, 0, -1):
+            sums[self.elements[i].parent] += sums[i]
+        return sums
+
     def candidates(self) -> list[int]:
-        """Elements that may be a template: outside articles, or made of links rather than prose."""
+        """Elements that may go by their source: outside articles, or made of links rather than prose."""
         if not any(e.article and not e.out for e in self.elements):
             return [i for i, e in enumerate(self.elements) if e.tag not in LAYOUT and e.tag not in ("", "head")]
-        links, chars = self.links.copy(), self.chars.copy()
-        for i in range(len(self.elements) - 1, 0, -1):
-            links[self.elements[i].parent] += links[i]
-            chars[self.elements[i].parent] += chars[i]
+        links, chars = self.gathered(self.links), self.gathered(self.chars)
         inside = lambda e: e.tag in LAYOUT or e.tag == "" or e.tag == "head" or ((e.article or e.main) and not e.out)
         return [i for i, e in enumerate(self.elements) if not inside(e) or (e.tag not in LAYOUT and e.tag not in ("", "head") and links[i] > 1 and chars[i] < 40 * links[i])]
 
-    def key(self, i: int) -> int:
-        """A subtree's hash: of its source with white space as single blanks."""
-        source = " ".join(self.html[self.elements[i].start : self.ends[i]].split())
-        return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    def keys(self) -> list[int]:
+        """A hash of each element's source, white space as single blanks: of its own source, with hashes for the elements in it."""
+        parts: list[list[str]] = [[] for _ in self.elements]  # from the end
+        at = self.ends.copy()
+        out = [0] * len(self.elements)
+        for i in range(len(self.elements) - 1, -1, -1):
+            start = self.elements[i].start
+            parts[i].append(" ".join(self.html[start : at[i]].split()))
+            out[i] = digest("\0".join(reversed(parts[i])))
+            parts[i] = []
+            if i:
+                above = self.elements[i].parent
+                parts[above] += [" ".join(self.html[self.ends[i] : at[above]].split()), str(out[i])]
+                at[above] = start
+        return out
 
-    def subtrees(self) -> set[tuple[int, int]]:
-        """(hash, hash of the parent) of the candidates."""
-        keys: dict[int, int] = {}
-        of = lambda i: keys[i] if i in keys else keys.setdefault(i, self.key(i))
-        return {(of(i), of(self.elements[i].parent)) for i in self.candidates()}
+    def shapes(self) -> dict[int, int]:
+        """Elements that may go by their shape, and its hash: of the names from the root to it, and of those in it."""
+        names: list[set[str]] = [set() for _ in self.elements]
+        for i in range(len(self.elements) - 1, 0, -1):
+            names[self.elements[i].parent] |= names[i] | {self.elements[i].name}
+        place = [0] * len(self.elements)
+        out = {}
+        for i, e in enumerate(self.elements[1:], 1):
+            place[i] = digest(f"{place[e.parent]} {e.name}")
+            if e.tag in CONTAINERS and not (e.article or e.main) and not any(n.split(".")[0] in HEADINGS | LAYOUT for n in names[i]):
+                out[i] = digest(f"shape {place[i]} {' '.join(sorted(names[i]))}")
+        return out
+
+    def subtrees(self) -> dict[tuple[int, int], int]:
+        """{(hash, parent's hash): characters}. A shape has no parent, which 0 stands for; so has the page, whose hash is 0."""
+        keys, chars = self.keys(), self.gathered(self.chars)
+        out = {(keys[i], keys[self.elements[i].parent]): 0 for i in self.candidates()}
+        for i, shape in self.shapes().items():
+            out[shape, 0] = out.get((shape, 0), 0) + chars[i]
+        out[0, 0] = chars[0]
+        return out
 
-    def main_text(self, recurring: set[int] | frozenset[int]) -> str:
-        gone = [e.out for e in self.elements]
+    def decided(self, recurring: set[int] | frozenset[int]) -> list[bool]:
+        """Whether each element goes by recurrence, or is in one that does."""
+        gone = [False] * len(self.elements)
         if recurring:
+            keys, shapes = self.keys(), self.shapes()
             for i in self.candidates():
-                gone[i] = gone[i] or self.key(i) in recurring
+                gone[i] = keys[i] in recurring
+            for i, shape in shapes.items():
+                gone[i] = gone[i] or shape in recurring
             for i, e in enumerate(self.elements[1:], 1):  # parents stand before their children
                 gone[i] = gone[i] or gone[e.parent]
-        left = [(self.elements[i], text) for i, text in self.blocks if not gone[i]]
-        for part in ([t for e, t in left if e.article], [t for e, t in left if e.main], [t for e, t in left]):
+        return gone
+
+    def main_text(self, recurring: set[int] | frozenset[int], meaning: bool = True) -> str:
+        gone = self.decided(recurring)
+        left = [(self.elements[i], text) for i, text in self.blocks if not gone[i] and not (meaning and self.elements[i].out)]
+        for part in ([t for e, t in left if e.article and meaning], [t for e, t in left if e.main and meaning], [t for e, t in left]):
             if part:
                 return "\n".join(part)
         return ""
 
+    def removed(self, recurring: set[int] | frozenset[int]) -> tuple[int, int]:
+        """Blocks of text that go by recurrence, and those that only meaning removes."""
+        gone, text = self.decided(recurring), {e for e in ("article", "main") if any(getattr(self.elements[i], e) and not self.elements[i].out for i, _ in self.blocks)}
+        meant = [e.out or bool(text) and not getattr(e, min(text)) for e in self.elements]
+        return sum(gone[i] for i, _ in self.blocks), sum(meant[i] and not gone[i] for i, _ in self.blocks)
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def named_out(tag: str, attributes: str) -> bool:
-    """Whether class, id, role or visibility say that an element is no article."""
+
+def described(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether class, id, role or visibility say that an element is no article; and its classes and id."""
+    out, names = False, []
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
+            out = True
         if name in ("class", "id", "role"):
-            words = set(SPLIT.split(value))
-            if words & ({"comment", "comments"} if tag in LAYOUT else NAMES):
-                return True
-    return False
+            out = out or bool(set(SPLIT.split(value)) & ({"comment", "comments"} if tag in LAYOUT else NAMES))
+            names += value.split()
+    return out, ".".join(sorted(names))
 
 
-def extract(pages: DataFrame, min_parents: int = MIN_PARENTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
-    host, _ = address(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+def recurring_subtrees(rows: DataFrame, least: int, share: float, text_share: float) -> tuple[DataFrame, DataFrame]:
+    """(host, page, key) of all subtrees of pages (host, html, page), and (host, key) of those that recur."""
 
     def parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, pages, keys, parents = [], [], [], []
-        for h, html, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for key, parent in Page(html).subtrees():
-                hosts.append(h)
-                pages.append(page)
-                keys.append(key)
-                parents.append(parent)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64()), pa.array(parents, pa.int64())], ["host", "page", "key", "parent"])
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for host, html, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for (key, parent), chars in Page(html).subtrees().items():
+                for column, value in zip(out, (host, page, key, parent, chars), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["host", "page", "key", "parent", "chars"])
+
+    found = map_batches(rows.select("host", "html", "page"), parsed, "host string, page long, key long, parent long, chars long")
+    # By source: different parents. By shape, and of the host itself: different pages.
+    sources = found.filter("parent != 0").select("host", "key", "parent").distinct().groupBy("host", "key").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("chars"))
+    shapes = found.filter("parent = 0").select("host", "key", "page", "chars").distinct().groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    shapes = cut(shapes)
+    hosts = shapes.filter("key = 0").select("host", F.col("n").alias("pages"), F.col("chars").alias("host_chars"))
+    many = F.col("n") >= F.greatest(F.lit(least), F.lit(share) * F.col("pages"))
+    little = F.col("chars").isNull() | (F.col("chars") <= text_share * F.col("host_chars"))
+    counts = sources.filter(F.col("n") >= least).unionByName(shapes.filter((F.col("key") != 0) & (F.col("n") >= least)))
+    return found.select("host", "page", "key"), written(counts.join(hosts, "host").filter(many & little).select("host", "key"), "recurring-subtrees")
 
+
+def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, text_share: float = TEXT_SHARE, meaning: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row."""
+    host, _ = address(F.col("url"))
+    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     page = F.xxhash64("host", "html")
-    found = map_batches(rows.select("host", "html", page.alias("page")), parsed, "host string, page long, key long, parent long")
-    counts = found.select("host", "key", "parent").distinct().groupBy("host", "key").count().filter(F.col("count") >= min_parents)
-    recurring = written(counts.select("host", "key"), "recurring-subtrees")
+    found, recurring = recurring_subtrees(rows.select("host", "html", page.alias("page")), least, share, text_share)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
 
     def result(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
-        texts = [Page(html).main_text(gone) for html, gone in zip(batch.column(3).to_pylist(), sets, strict=True)]
+        texts = [Page(html).main_text(gone, meaning) for html, gone in zip(batch.column(3).to_pylist(), sets, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if recurring.count() <= broadcast_rows:
@@ -241,7 +318,6 @@ def extract(pages: DataFrame, min_parents: int = MIN_PARENTS, broadcast_rows: in
             by_host.setdefault(r.host, set()).add(r.key)
         sent = pages.sparkSession.sparkContext.broadcast(by_host)
         return map_batches(rows, lambda batch: result(batch, [sent.value.get(h, frozenset()) for h in batch.column(2).to_pylist()]), schema)
-    bounded_batches(pages.sparkSession)
     own = found.select("host", "page", "key").distinct().join(recurring, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("keys"))
     joined = rows.withColumn("page", page).join(own, "page", "left").select("page_id", "url", "host", "html", "keys")
     return map_batches(joined, lambda batch: result(batch, [set(k or ()) for k in batch.column(4).to_pylist()]), schema)

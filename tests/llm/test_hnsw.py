@@ -61,7 +61,7 @@ def test_recall_of_the_largest_shard(spark):
     v = rng.normal(size=(16_000, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
     table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
-    got = found(hnsw.neighbours(table, table.filter("vec_id % 80 = 0"), shards=1))
+    got = found(hnsw.neighbours(table, table.filter("vec_id % 80 = 0")))
     right = 0
     for q in range(0, 16_000, 80):
         scores = v @ v[q]
@@ -77,9 +77,9 @@ def test_shards_in_bundles_are_merged(spark):
     rows = [(i, rng.normal(size=5).tolist()) for i in range(400)] + [(1000 + i, [1.0, 2.0, 0.0, 1.0, 0.5]) for i in range(30)]
     rows += [(20, rng.normal(size=5).tolist())]  # an id of two vectors
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert hnsw.index(hnsw.participants(table, "vec_id", "embedding"), 20, 2, 50).count() > 2
+    assert hnsw.index(hnsw.participants(table, "vec_id", "embedding"), 20, 50).count() > 2
     asked = table.filter("vec_id % 20 = 0 and vec_id <> 20")
-    whole, parts = found(hnsw.neighbours(table, asked, shards=1)), found(hnsw.neighbours(table, asked, shards=2, shard_rows=50, bundle_rows=100))
+    whole, parts = found(hnsw.neighbours(table, asked)), found(hnsw.neighbours(table, asked, shard_rows=50, bundle_bytes=40_000, tasks=2, query_block=7))
     want = exact([r for r in rows if r[0] != 20])
     assert {q: [i for i, _ in x] for q, x in whole.items()} == {q: [i for i, _ in x] for q, x in parts.items()}
     assert whole.keys() == want.keys()

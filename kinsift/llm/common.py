@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import discard, shared_folder, written
 
-__all__ = ["bounded_batches", "cut", "discard", "map_batches", "map_iterator", "shared_folder", "unused_name", "worker_state", "written"]
+__all__ = ["bounded_batches", "cut", "discard", "hot_keys", "map_batches", "map_iterator", "salted", "shared_folder", "unused_name", "worker_state", "written"]
 
 #: Rows of an Arrow batch of documents. A batch of texts must fit in a Python worker, and a text may be very long.
 BATCH_ROWS = 512
@@ -78,3 +79,24 @@ def map_iterator(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, keeps_state: bool = False) -> DataFrame:
     """mapInArrow for a function of one batch."""
     return map_iterator(df, lambda batches: map(fn, batches), schema, keeps_state)
+
+
+#: A key is hot if one in so many rows of a sample has it: there are no more hot keys than that.
+HOT_SHARE, SAMPLED, LEAST_SAMPLED = 1000, 0.02, 20
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key): values that very many rows have, of a sample of the rows; at most HOT_SHARE. They only say how a join is dealt."""
+    counts = cut(df.select(key).sample(SAMPLED, seed=1).groupBy(key).count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.filter(F.col("count") > max(LEAST_SAMPLED, total / HOT_SHARE)).select(key)
+
+
+def salted(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on `key`, to be joined on it and `salt`: rows of a hot key are dealt to `salts` tasks by the column `by`
+    of the side that has many, where the other side's row of that key is copied to."""
+    mark = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    left = many.join(mark, key, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("long")).drop("is_hot")
+    all_salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(mark, key, "left").withColumn("salt", F.explode(all_salts)).drop("is_hot")
+    return left, right.withColumn("salt", F.col("salt").cast("long"))

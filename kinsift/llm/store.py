@@ -26,7 +26,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import CACHED_LENGTH, FAR_LETTERS, default_tokenizer
-from .common import bounded_batches, discard, map_iterator, shared_folder, worker_state
+from .common import discard, hot_keys, map_batches, map_iterator, salted, shared_folder, worker_state
 
 END_ID = 1
 #: Ids that the rolling hash sees; bits of it that are zero at a cut (a cut in 2^10 ids); bounds of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
+#: Ids of a part of the recipes.
+PART_IDS = 1 << 28
 #: Cached pieces of a Python worker's younger and older half.
 CACHED_PIECES = 400_000
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -153,12 +155,34 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out if last == n else [*out, n]
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary hash tree; leaves and nodes are told apart by their first byte, an odd node moves up."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+class Merkle:
+    """A binary hash tree, leaf by leaf; leaves and nodes are told apart by their first byte, an odd node moves up. Held are the
+    roots of the whole trees so far, a few dozen however many leaves there are."""
+
+    def __init__(self) -> None:
+        self.trees: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.trees and self.trees[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.trees.pop()[1] + node).digest()
+            height += 1
+        self.trees.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.trees:
+            return hashlib.sha256(b"").digest()
+        node = self.trees[-1][1]
+        for _, left in reversed(self.trees[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def merkle(leaves: Iterable[bytes]) -> bytes:
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def times(a: int, b: int) -> int:
@@ -238,12 +262,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 last = key if kind == "chunk" else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    bounded_batches(spark)
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(encoded, rows).repartition("key").sortWithinPartitions("kind", "key")
-    dealt.mapInArrow(once, rows).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    dealt = map_iterator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), encoded, rows, keeps_state=True).repartition("key").sortWithinPartitions("kind", "key")
+    map_iterator(dealt, once, rows).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     recipes = read_kind(spark, path, "recipe", rows).select("doc_id", "n_tokens", "root", "addresses")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), (recipes.agg(F.sum("n_tokens")).first()[0] or 0) // PART_IDS)
     ordered = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "n_tokens", "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "root")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "root", "addresses")
 
@@ -254,17 +277,18 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(local + np.cumsum(n) - n, pa.int64()), *batch.columns[1:]], ["part", "local", *batch.schema.names[1:]])
             local += int(n.sum())
 
-    ordered.mapInArrow(counted, f"part int, local long, doc_id {kind}, n_tokens long, root binary, addresses binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    map_iterator(ordered, counted, f"part int, local long, doc_id {kind}, n_tokens long, root binary, addresses binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     def part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             for part, n, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = held.setdefault(part, [0, []])
-                own[0] += n
-                own[1].append(root)
+                own = held.setdefault(part, [0, 0, Merkle()])
+                own[0] += 1
+                own[1] += n
+                own[2].add(root)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([len(x[1]) for x in held.values()], pa.int64()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([merkle(x[1]) for x in held.values()], pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64()), pa.array([x[2].root() for x in held.values()], pa.binary())], ["part", "n_docs", "n_tokens", "root"])
 
     sums = [tuple(r) for r in part_sums(spark, path, kind, part_roots).orderBy("part").collect()]  # a row for each part
     top, start, out = merkle([bytes(r[3]) for r in sums]), 0, []
@@ -284,7 +308,8 @@ def read_kind(spark: SparkSession, path: str, kind: str, rows: str) -> DataFrame
 def part_sums(spark: SparkSession, path: str, kind: str, fn) -> DataFrame:
     """Each part's documents in order, folded by `fn`."""
     recipes = spark.read.schema(f"part int, local long, doc_id {kind}, n_tokens long, root binary, addresses binary").parquet(f"{path}/recipes")
-    return recipes.select("part", "n_tokens", "root", "local", "doc_id").repartition("part").sortWithinPartitions("part", "local", F.col("doc_id").asc_nulls_first(), "root").select("part", "n_tokens", "root").mapInArrow(fn, "part int, n_docs long, n_tokens long, root binary")
+    ordered = recipes.select("part", "n_tokens", "root", "local", "doc_id").repartition("part").sortWithinPartitions("part", "local", F.col("doc_id").asc_nulls_first(), "root").select("part", "n_tokens", "root")
+    return map_iterator(ordered, fn, "part int, n_docs long, n_tokens long, root binary")
 
 
 def chunks_read(spark: SparkSession, path: str, kind: str, width: int) -> DataFrame:
@@ -302,8 +327,7 @@ def chunks_read(spark: SparkSession, path: str, kind: str, width: int) -> DataFr
                 crc.append(zlib.crc32(ids.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["address", "n", "crc"])
 
-    bounded_batches(spark)
-    return read_kind(spark, path, "chunk", rows).select("key", "data").mapInArrow(checked, "address binary, n long, crc long")
+    return map_iterator(read_kind(spark, path, "chunk", rows).select("key", "data"), checked, "address binary, n long, crc long")
 
 
 def read_digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
@@ -315,16 +339,19 @@ def read_digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
     chunks = chunks_read(spark, path, kind, width)
     recipes = spark.read.schema(f"part int, local long, doc_id {kind}, n_tokens long, root binary, addresses binary").parquet(f"{path}/recipes")
     doc = F.struct("part", "local", "doc_id", "n_tokens", "root")
-    places = recipes.select(doc.alias("doc"), F.xxhash64("part", "local", "doc_id", "root").alias("row"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("addresses") / 32 - 1).cast("int")), lambda i: F.substring("addresses", i * 32 + 1, F.lit(32)))).alias("pos", "address"))
-    found = places.join(chunks, "address", "left").select("doc.*", "row", "pos", "address", "n", "crc")
+    addresses = F.transform(F.sequence(F.lit(0), (F.octet_length("addresses") / 32 - 1).cast("int")), lambda i: F.substring("addresses", i * 32 + 1, F.lit(32)))
+    places = recipes.select(doc.alias("doc"), F.xxhash64("part", "local", "doc_id", "root").alias("row"), F.posexplode(addresses).alias("pos", "address"))
+    hot = hot_keys(recipes.select(F.explode(addresses).alias("address")), "address")
+    many, one = salted(places, chunks, "address", hot, "row")
+    found = many.join(one, ["address", "salt"], "left").select("doc.*", "row", "pos", "address", "n", "crc")
     ordered = found.repartition("row").sortWithinPartitions("part", "local", F.col("doc_id").asc_nulls_first(), "root", "pos")
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaves, total, crc = None, [], 0, 0
+        now, leaves, count, total, crc = None, Merkle(), 0, 0, 0
 
         def done() -> tuple:
             part, local, doc_id, n_tokens, root = now
-            if total != n_tokens or merkle(leaves) != root:
+            if total != n_tokens or leaves.root() != root:
                 raise ValueError(f"document {doc_id} isn't what its recipe says")
             return part, local, doc_id, n_tokens, crc, root
 
@@ -336,11 +363,12 @@ def read_digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
                 if pos == 0:
                     if now is not None:
                         rows.append(done())
-                    now, leaves, total, crc = (part, local, doc_id, n_tokens, root), [], 0, 0
-                if len(leaves) != pos or now != (part, local, doc_id, n_tokens, root):
+                    now, leaves, count, total, crc = (part, local, doc_id, n_tokens, root), Merkle(), 0, 0, 0
+                if count != pos or now != (part, local, doc_id, n_tokens, root):
                     raise ValueError(f"document {doc_id}: chunks are out of order")
-                leaves.append(address)
-                total, crc = total + n, crc_of_both(crc, c, 4 * n) if leaves[1:] else c
+                leaves.add(address)
+                total, crc = total + n, crc_of_both(crc, c, 4 * n) if count else c
+                count += 1
             yield made(rows, batch.schema)
         if now is not None:
             yield made([done()], batch.schema)
@@ -349,11 +377,9 @@ def read_digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
         kinds = [pa.int32(), pa.int64(), like.field("doc_id").type, pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["part", "local", "doc_id", "n_tokens", "ids_crc32", "root"])
 
-    bounded_batches(spark, 4096)
-    docs = ordered.mapInArrow(folded, f"part int, local long, doc_id {kind}, n_tokens long, ids_crc32 long, root binary")
-    starts = {r.part: r.start for r in manifest}
-    base = F.element_at(F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)]), F.col("part")) if starts else F.lit(0)
-    return docs.select("doc_id", (base + F.col("local")).cast("long").alias("start"), "n_tokens", "ids_crc32", "part", "root")
+    docs = map_iterator(ordered, folded, f"part int, local long, doc_id {kind}, n_tokens long, ids_crc32 long, root binary")
+    starts = F.broadcast(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("part", F.col("start").alias("base")))  # a row for PART_IDS ids
+    return docs.join(starts, "part").select("doc_id", (F.col("base") + F.col("local")).cast("long").alias("start"), "n_tokens", "ids_crc32", "part", "root")
 
 
 def documents_of(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
@@ -370,7 +396,7 @@ def documents_of(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
         values = [np.frombuffer(b"".join(x["data"] for x in row), f"<u{bits // 8}").astype(np.int64) for row in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "data").mapInArrow(lambda batches: map(ids, batches), f"doc_id {kind}, start long, ids array<long>")
+    return map_batches(whole.select("doc_id", "start", "data"), ids, f"doc_id {kind}, start long, ids array<long>")
 
 
 def stored_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -378,4 +404,6 @@ def stored_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = path or f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     write(docs, folder)
+    if path is None:
+        discard(spark, folder, at_exit=True)
     return read_digests(spark, folder, docs.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -1,10 +1,11 @@
+import hashlib
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from kinsift.llm import store
+from kinsift.llm import common, store
 from kinsift.llm.bpe import default_tokenizer
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
@@ -70,3 +71,23 @@ def test_cuts_move_with_the_text():
     assert len(a & b) > 0.9 * len(a)
     sizes = np.diff([0, *store.cuts(ids)])
     assert sizes[:-1].min() >= store.LEAST and sizes.max() <= store.MOST and sizes.sum() == len(ids)
+
+
+def test_a_hot_chunk_is_read_by_many(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLED", 1.0)
+    rows = [(i, None if i % 3 else f"own text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert common.hot_keys(docs.selectExpr("coalesce(text, '') AS text"), "text").count() == 1
+    assert sorted(tuple(r) for r in store.stored_and_read(docs).collect()) == plain(rows)
+
+
+def test_the_streamed_tree_is_the_tree():
+    def by_levels(leaves):
+        level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    for n in range(70):
+        leaves = [bytes([i]) * 3 for i in range(n)]
+        assert store.merkle(leaves) == by_levels(leaves)

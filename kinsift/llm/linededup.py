@@ -181,16 +181,18 @@ def kept_lines(docs: DataFrame, edits: int = 1) -> DataFrame:
 def judged(docs: DataFrame, edits: int = 1) -> DataFrame:
     """(row, text, n_lines, n_kept): the rows of `docs` as structs, with what is left of their texts; blank lines count in neither
     number."""
-    whole = kept_lines(docs, edits).repartition("doc_id", "text_hash").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("pos", "raw"))).alias("left"), F.sum("counts").alias("n_kept"))
-    whole = whole.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.array_join("left.raw", "\n").alias("left"), "n_kept")
+    # Equality that holds for null ids too, in columns that a join need not rewrite, so both sides are dealt out once.
+    key = ["no_id", "id", "hash"]
+    keyed = lambda hash_: [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), hash_.alias("hash")]
+    whole = kept_lines(docs, edits).select(*keyed(F.col("text_hash")), "pos", "raw", "counts").repartition(*key)
+    whole = whole.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("pos", "raw"))).alias("left"), F.sum("counts").alias("n_kept")).select(*key, F.array_join("left.raw", "\n").alias("left"), "n_kept")
     lines = F.split("text", "\n", -1)
     n = F.coalesce(F.size(F.filter(lines, lambda x: trimmed(x) != "")), F.lit(0))
     blank = F.array_join(F.filter(lines, lambda x: trimmed(x) == ""), "\n")
     bare = [F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    one = Window.partitionBy("id", "hash").orderBy("id")
-    rows = docs.select(F.struct(*bare).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("none"), n.cast("long").alias("n_lines"), blank.alias("blank"))
-    rows = rows.withColumn("copy", F.row_number().over(one))
-    joined = rows.join(whole.withColumnsRenamed({"id": "id_", "hash": "hash_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left")
+    rows = docs.select(F.struct(*bare).alias("row"), *keyed(F.xxhash64("text")), F.col("text").isNull().alias("none"), n.cast("long").alias("n_lines"), blank.alias("blank"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("id")))
+    joined = rows.join(whole, key, "left")
     text = F.when(F.col("none"), F.lit(None)).when(F.col("copy") > 1, F.col("blank")).otherwise(F.coalesce("left", F.lit("")))
     return joined.select("row", text.alias("text"), "n_lines", F.when(F.col("copy") > 1, F.lit(0)).otherwise(F.coalesce("n_kept", F.lit(0))).cast("long").alias("n_kept"))
 

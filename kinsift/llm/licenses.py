@@ -190,7 +190,8 @@ def verified(docs: DataFrame, candidates: DataFrame, whole: DataFrame, least: fl
     """(row, spans): the candidates' spans whose words align with their template's, none of two that overlap."""
     spans = candidates.select("text_hash", "bytes", "template", "first", "last").distinct()
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.octet_length(text_col).alias("bytes"), F.col(text_col).alias("text"))
-    texts = texts.join(spans.select("text_hash", "bytes").distinct(), ["text_hash", "bytes"], "left_semi").groupBy("text_hash", "bytes").agg(F.first("text").alias("text"))
+    # Copies become one before they are dealt out by their hash.
+    texts = texts.groupBy("text_hash", "bytes").agg(F.first("text").alias("text")).join(spans.select("text_hash", "bytes").distinct(), ["text_hash", "bytes"])
     of = spans.join(texts, ["text_hash", "bytes"]).join(F.broadcast(whole), "template")
     own = F.slice(words_of(F.col("text")), F.col("first") + 1, F.col("last") - F.col("first"))
     coded = F.array_join(F.transform(own, lambda w: F.char(F.array_position(F.col("vocabulary"), w))), "")

@@ -33,7 +33,8 @@ def contains(range_: Column, line: Column) -> Column:
 
 
 def shown_range(range_: Column) -> Column:
-    return F.concat_ws("-", range_["start"].cast("string"), range_["end"].cast("string"))
+    """NULL of no range."""
+    return F.concat(range_["start"].cast("string"), F.lit("-"), range_["end"].cast("string"))
 
 
 def from_index(index: Column) -> Column:

@@ -12,11 +12,14 @@ from ..operators.lookup import enclosing
 from ..operators.pairs import FEATURES, capped, signals_of, verdict_pairs
 from ..operators.report import report
 from ..sources.files import chunks, counted, read_files
+from ..storage import written
 
 
 def compared(files: DataFrame, pairs: DataFrame, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
     """A row for each pair of locations (a, b as texts): signals, verdict, reasons, report, or error, error_at and error_text.
     The first failure counts: that of a before that of b."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("at")).select(location(F.col("at"))[0].alias("path")).filter("path is not null").distinct()
+    files = files.join(named, "path", "left_semi")
     parsed = chunks(files)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct()
     path, line, wrong = location(F.col("at"))
@@ -37,13 +40,14 @@ def compared(files: DataFrame, pairs: DataFrame, threshold: float = T.STRUCTURAL
 
 
 def compare(spark: SparkSession, folder: str, a: str, b: str, threshold: float = T.STRUCTURAL_THRESHOLD) -> DataFrame:
-    """One pair of locations `path:line`, with paths relative to the folder."""
-    return compared(read_files(spark, folder), spark.createDataFrame([(a, b)], "a string, b string"), threshold)
+    """One pair of locations `path:line`, with paths relative to the folder. Only their own files are read."""
+    return compared(read_files(spark, folder, [x.rpartition(":")[0] for x in (a, b)]), spark.createDataFrame([(a, b)], "a string, b string"), threshold)
 
 
 def scan(spark: SparkSession, folder: str, threshold: float = T.STRUCTURAL_THRESHOLD, cap: int = T.PAIR_CAP) -> DataFrame:
     """Every pair of sound functions of a folder, with its verdict; more pairs than the cap stop it."""
-    found = chunks(read_files(spark, folder)).filter("not has_error").select(F.struct("path", "start_line", "seq").alias("id"), *FEATURES).cache()
+    found = chunks(read_files(spark, folder)).filter("not has_error").select(F.struct("path", "start_line", "seq").alias("id"), *FEATURES)
+    found = written(found, "chunks")
     named = lambda s: shown_location(F.col(f"id_{s}.path"), F.col(f"id_{s}.start_line"))
     pairs = verdict_pairs(capped(found, cap), threshold)
     return pairs.withColumns({"a": named("a"), "b": named("b")}).withColumn("report", report(F.col("a"), F.col("b"), threshold)).drop("id_a", "id_b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .. import types as T
 from ..functions.lexer import pattern
 from ..operators.report import LEANS, SUGGESTIONS
-from .snippets import EXPECTED, IMPORTED, SEEDS
+from .snippets import ASKED, EXPECTED, IMPORTED, SEEDS, SOURCES
 
 PATTERN = pattern(r"\p{L}\p{Nl}_$", r"\p{L}\p{N}_$", "")
 
@@ -15,7 +15,7 @@ def text(value: str) -> str:
 
 
 def values(rows: list[tuple]) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join(text(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) for v in row) + ")" for row in rows)
+    return "VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else text(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) for v in row) + ")" for row in rows)
 
 
 def choice(column: str, of: dict[str, str]) -> str:
@@ -77,6 +77,8 @@ CLIMB = "CASE WHEN len(acc) > 0 AND acc[-1] <> '..' THEN acc[1:-2] ELSE list_app
 SPECIFIERS = "['./pad', '../utils/pad', '../../shared', '../../../../../out', '..', '.', 'react', './a/./b//c/../d', '../x/../../y']"
 NUMBER = r"CASE WHEN NOT regexp_matches({0}, '^\+?[0-9]+$') THEN 'NotANumber' WHEN regexp_matches({0}, '^\+?0+$') THEN 'Zero' END"
 
+LINES_OF = lambda path, first, last: "\n".join(dict(SOURCES)[path].split("\n")[first - 1 : last])
+
 SQL: dict[str, str] = {
     "lex_tokens": f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS tokens FROM documents",
     "token_class_counts": f"SELECT c[1] AS class, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS c FROM conversations) GROUP BY 1",
@@ -130,8 +132,19 @@ SELECT event_id, text, CASE WHEN x BETWEEN 0 AND 1 THEN x END AS value, CASE WHE
 {LINES.replace("FROM documents", "FROM planted")}, each AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, trim(unnest(lines), ' ' || chr(9)) AS x FROM lines)
 SELECT doc_id, line FROM each WHERE NOT starts_with(x, '}}') AND ends_with(x, '{{') AND regexp_matches(x, '^[^(]*\(.*\)', 's')
   AND regexp_extract(x, '^([A-Za-z0-9_$]*)', 1) NOT IN ({", ".join(map(text, T.CONTROL_WORDS))})""",
-    "ts_chunks": f"SELECT path, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, has_error FROM ({values(EXPECTED)}) AS t(path, kind, start_line, end_line, has_error)",
+    "ts_chunks": f"SELECT path, seq::BIGINT AS seq, kind, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, has_error, source FROM ({values([(*x, LINES_OF(x[0], x[3], x[4])) for x in EXPECTED])}) AS t(path, seq, kind, start_line, end_line, has_error, source)",
     "ts_imports": f"SELECT path, pos::BIGINT AS pos, specifier, module FROM ({values(IMPORTED)}) AS t(path, pos, specifier, module)",
+    "source_files": f"SELECT path, n_lines::BIGINT AS n_lines FROM ({values([(p, len(s.splitlines())) for p, s in SOURCES])}) AS t(path, n_lines)",
+    "compare_locations": f"SELECT * FROM ({values(ASKED)}) AS t(a, b, verdict, error, error_at, cause, error_text)",
+    "split_results": f"SELECT a, b, CASE WHEN verdict IS NULL THEN 'failure' ELSE 'verdict' END AS kind FROM ({values(ASKED)}) AS t(a, b, verdict, error, error_at, cause, error_text)",
+    "scan_pairs": f"""WITH t AS (SELECT path, seq, path || ':' || start_line AS at, start_line FROM ({values(EXPECTED)}) AS t(path, seq, kind, start_line, end_line, has_error) WHERE NOT has_error)
+SELECT a.at AS a, b.at AS b FROM t a JOIN t b ON (a.path, a.start_line, a.seq) < (b.path, b.start_line, b.seq)""",
+    "compare_one": "SELECT 'broken/half.ts:5' AS a, 'broken/open.ts:2' AS b, 1.0::DOUBLE AS similarity, NULL::DOUBLE AS import_overlap, 0::BIGINT AS module_distance, 'REVIEW' AS verdict",
+    "line_ranges": """SELECT DISTINCT l_orderkey, l_linenumber, q, CASE WHEN e >= l_linenumber THEN l_linenumber || '-' || e END AS shown, l_linenumber || '-' || (l_linenumber + e) AS shown_more,
+4 BETWEEN l_linenumber AND l_linenumber + e AS has_4, l_linenumber::BIGINT - 1 AS index FROM (SELECT l_orderkey, l_linenumber, floor(l_quantity)::INTEGER AS q, floor(l_quantity)::INTEGER % 10 AS e FROM lineitem)""",
+    "similarity_values": "SELECT event_id, CASE WHEN event_id % 50 <> 0 AND x BETWEEN 0 AND 1 THEN x END AS similarity FROM (SELECT event_id, floor(value * 8) / 256 - 0.25 AS x FROM events)",
+    "capped_pairs": """SELECT 'nation' AS name, (SELECT count(*) FROM nation) || ' chunks' AS outcome
+UNION ALL SELECT 'lineitem', CASE WHEN n * (n - 1) // 2 > 200000 THEN 'pairs are more than 200000' ELSE n || ' chunks' END FROM (SELECT count(*) AS n FROM lineitem)""",
     "recurrence": """WITH last AS (SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'error'), 0) AS last FROM events GROUP BY user_id),
 t AS (SELECT e.user_id, last, count(*) FILTER (event_type <> 'error' AND event_id > last) AS recurrence, count(*) FILTER (event_type <> 'error') AS total FROM events e JOIN last l ON e.user_id = l.user_id GROUP BY ALL)
 SELECT user_id AS tag, recurrence, total, (SELECT count(DISTINCT event_id) FROM events x WHERE x.event_id > t.last) AS records_after, last AS last_intervention FROM t WHERE total > 0""",

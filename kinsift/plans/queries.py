@@ -5,6 +5,7 @@ is its url's host and directories."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,9 @@ from ..functions import lexer, lines, parsing, paths, sets
 from ..operators import lookup, pairs, seeds, tally
 from ..operators.classify import classify
 from ..operators.report import report
-from ..sources.files import chunks
-from ..sources.typescript import specifiers_of
-from ..storage import spread, written
-from . import snippets
+from ..sources.files import chunks, counted, read_files, scanned
+from ..storage import discard, put_text, shared_folder, spread, written
+from . import compare, snippets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -233,9 +233,79 @@ def parse_threshold(spark, d):
     return rows.select("event_id", "text", value.alias("value"), error.alias("error"))
 
 
+def snippet_folder(spark: SparkSession) -> str:
+    """A folder with the snippets as files."""
+    folder = f"{shared_folder(spark)}/snippets-{uuid.uuid4().hex}"
+    for path, source in snippets.FILES:
+        put_text(spark, f"{folder}/{path}", source)
+    discard(spark, folder, at_exit=True)
+    return folder
+
+
 @query
 def seed_lines(spark, d):
-    return seeds.seed_lines(spark.createDataFrame(snippets.FILES, "path string, source string")).select("path", F.col("line").cast("long").alias("line"))
+    return seeds.seed_lines(read_files(spark, snippet_folder(spark))).select("path", F.col("line").cast("long").alias("line"))
+
+
+@query
+def source_files(spark, d):
+    """Files that are searched, and how many lines they have."""
+    return counted(read_files(spark, snippet_folder(spark))).select("path", F.col("total_lines").cast("long").alias("n_lines"))
+
+
+@query
+def compare_locations(spark, d):
+    """Pairs of locations: a verdict, or the first error with its cause and text."""
+    asked = spark.createDataFrame([x[:2] for x in snippets.ASKED], "a string, b string")
+    return compare.compared(read_files(spark, snippet_folder(spark)), asked).select("a", "b", "verdict", "error", "error_at", "cause", "error_text")
+
+
+@query
+def split_results(spark, d):
+    """Results of comparisons, divided into those with a verdict and those with an error."""
+    asked = spark.createDataFrame([x[:2] for x in snippets.ASKED], "a string, b string")
+    sound, failed = pairs.split_failures(written(compare.compared(read_files(spark, snippet_folder(spark)), asked), "compared"))
+    return sound.select("a", "b", F.lit("verdict").alias("kind")).unionByName(failed.select("a", "b", F.lit("failure").alias("kind")))
+
+
+@query
+def scan_pairs(spark, d):
+    """Every pair of sound functions of a folder."""
+    return compare.scan(spark, snippet_folder(spark)).select("a", "b")
+
+
+@query
+def compare_one(spark, d):
+    """One pair, of which only the two files are read."""
+    return compare.compare(spark, snippet_folder(spark), "broken/half.ts:5", "broken/open.ts:2").select("a", "b", F.round(T.STRUCTURAL, 6).alias("similarity"), T.IMPORTS, F.col(T.DISTANCE).cast("long").alias(T.DISTANCE), "verdict")
+
+
+@query
+def line_ranges(spark, d):
+    """Ranges from each order line's number: none if it ends before it starts; how it is shown; whether it has line 4."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.floor("l_quantity").cast("int").alias("q"))
+    start, end = F.col("l_linenumber").cast("int"), (F.col("q") % 10).cast("int")
+    given, more = lines.line_range(start, end), lines.starting_at(start, end)
+    return rows.select("l_orderkey", "l_linenumber", "q", lines.shown_range(given).alias("shown"), lines.shown_range(more).alias("shown_more"), lines.contains(more, F.lit(4)).alias("has_4"), lines.to_index(start).cast("long").alias("index")).distinct()
+
+
+@query
+def similarity_values(spark, d):
+    """Numbers as similarities: from 0 to 1, else NULL."""
+    value = F.when(F.col("event_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.floor(F.col("value") * 8) / 256 - 0.25)
+    return table(spark, d, "events").select("event_id", sets.similarity(value).alias("similarity"))
+
+
+@query
+def capped_pairs(spark, d):
+    """Nations are few enough to pair; the customers of all would be too many, and that stops it."""
+    def outcome(name: str, column: str) -> str:
+        try:
+            return f"{pairs.capped(table(spark, d, name).select(column)).count()} chunks"
+        except ValueError as e:
+            return str(e).split(" ", 1)[1]
+
+    return spark.createDataFrame([("nation", outcome("nation", "n_nationkey")), ("lineitem", outcome("lineitem", "l_orderkey"))], "name string, outcome string")
 
 
 @query
@@ -248,15 +318,14 @@ def seed_lines_documents(spark, d):
 
 @query
 def ts_chunks(spark, d):
-    found = chunks(spark.createDataFrame(snippets.FILES, "path string, source string"))
-    return found.select("path", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "has_error")
+    found = chunks(read_files(spark, snippet_folder(spark)))
+    return found.select("path", F.col("seq").cast("long").alias("seq"), "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "has_error", "source")
 
 
 @query
 def ts_imports(spark, d):
-    rows = [(p, i, s) for p, source in snippets.FILES for i, s in enumerate(specifiers_of(source))]
-    each = spark.createDataFrame(rows, "path string, pos long, specifier string")
-    return each.select("path", "pos", "specifier", paths.module_path(F.col("specifier"), F.col("path")).alias("module"))
+    each = scanned(read_files(spark, snippet_folder(spark))).select("path", F.posexplode("specifiers").alias("pos", "specifier"))
+    return each.select("path", F.col("pos").cast("long").alias("pos"), "specifier", paths.module_path(F.col("specifier"), F.col("path")).alias("module"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,14 +17,38 @@ from ..types import PRUNED, SOURCES
 from .typescript import chunks_of, specifiers_of
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, source) of the source files below a folder; paths are relative to it. Folders of dependencies and builds are left
-    out. A file that isn't UTF-8 has a NULL source."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    base = "/" + folder.split(":", 1)[-1].strip("/") + "/"
-    rows = raw.select(F.substr("path", F.instr("path", base) + len(base)).alias("path"), "content")
-    kept = rows.filter(F.endswith("path", F.lit(SOURCES[0])) | F.endswith("path", F.lit(SOURCES[1]))).filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, PRUNED))))
-    return kept.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("source"))
+def source_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted paths of the source files below a folder, relative to it. Folders of dependencies and builds aren't entered."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, out = [""], []
+    while todo:
+        at = todo.pop()
+        for status in files.listStatus(hadoop.Path(f"{folder.rstrip('/')}/{at}" if at else folder)):
+            name = status.getPath().getName()
+            path = f"{at}/{name}" if at else name
+            if status.isDirectory():
+                todo += [path] if name not in PRUNED else []
+            elif name.endswith(SOURCES):
+                out.append(path)
+    return sorted(out)
+
+
+def read_files(spark: SparkSession, folder: str, paths: list[str] | None = None) -> DataFrame:
+    """(path, source) of the source files below a folder, or of those named that are there; paths are relative to it, and no
+    other file is read. A file that isn't UTF-8 has a NULL source."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = files.makeQualified(hadoop.Path(folder)).toString().rstrip("/")
+    found = source_paths(spark, folder) if paths is None else [p for p in dict.fromkeys(paths) if p and files.isFile(hadoop.Path(f"{root}/{p}"))]
+    if not found:
+        return spark.createDataFrame([], "path string, source string")
+    # Globs in names are taken as they stand.
+    raw = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\])", r"\\\1", f"{root}/{p}") for p in found])
+    named = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    base = re.sub("^[a-z]+:/+", "/", root) + "/"
+    rows = raw.select(F.substr(named, F.instr(named, base) + len(base)).alias("path"), "content")
+    return rows.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("source"))
 
 
 def scanned(files: DataFrame) -> DataFrame:

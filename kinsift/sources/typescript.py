@@ -51,6 +51,8 @@ class Scanner:
         self.limits: dict[int, int] = {}
         self.lex()
         self.types: set[int] = set()
+        self.angled: dict[int, int | None] = {}
+        self.class_bodies = self.bodies_of_classes()
 
     def lex(self) -> None:
         source, out, pos, n = self.source, self.tokens, 0, len(self.source)
@@ -109,16 +111,25 @@ class Scanner:
         return self.match[i] + 1 if i in self.match else None
 
     def angles(self, i: int) -> int | None:
-        """Behind the type parameters that open at i."""
-        depth = 0
-        for j in range(i, min(i + 400, len(self.tokens))):
-            t = self.text(j)
-            depth += (t == "<") - (t == ">")
-            if t in (";", "{") and depth and j not in self.match:
-                return None
-            if not depth:
-                return j + 1
-        return None
+        """Behind the type parameters that open at i; brackets in them are passed over."""
+        if i not in self.angled:
+            open_, j, n = [], i, len(self.tokens)
+            while j < n:
+                t = self.text(j)
+                if t == "<":
+                    open_.append(j)
+                elif t == ">":
+                    self.angled[open_.pop()] = j + 1
+                    if not open_:
+                        break
+                elif t in OPEN and j in self.match:
+                    j = self.match[j]
+                elif t in (";", "{") or t in CLOSE:
+                    break
+                j += 1
+            for k in open_:
+                self.angled[k] = None
+        return self.angled[i]
 
     def type_end(self, i: int) -> int:
         """Behind the type that begins at i; its tokens are marked."""
@@ -274,10 +285,7 @@ class Scanner:
 
     def arrow(self, out: list[Function], start: int, body: int) -> None:
         if self.text(start - 1) == ">":
-            for k in range(start - 1, max(-1, start - 60), -1):
-                if self.text(k) == "<" and self.angles(k) == start:
-                    start = k
-                    break
+            start = self.opened_before(start)
         if self.text(start - 1) == "async":
             start -= 1
         if self.text(body) == "{":
@@ -289,6 +297,21 @@ class Scanner:
             sound, end = last >= body, self.tokens[max(last, body - 1)].end
         out.append(Function("arrow_function", self.tokens[start].start, end, sound))
 
+    def opened_before(self, i: int) -> int:
+        """Where the type parameters open that end before i; i, if none do."""
+        k, depth = i - 1, 0
+        while k >= 0:
+            t = self.text(k)
+            if t in CLOSE and k in self.match:
+                k = self.match[k]
+            elif t == ";" or t in OPEN:
+                break
+            depth += (t == ">") - (t == "<")
+            if not depth:
+                return k if self.angles(k) == i else i
+            k -= 1
+        return i
+
     def member_places(self) -> dict[int, int]:
         """First token of each method, and its parameters' parenthesis."""
         out: dict[int, int] = {}
@@ -338,17 +361,28 @@ class Scanner:
                     j += 1
         return out
 
+    def bodies_of_classes(self) -> set[int]:
+        """Braces that open the body of a class: the first one behind its name, type parameters and bases."""
+        out = set()
+        for i, t in enumerate(self.tokens):
+            if t.text != "class" or t.kind != "word" or self.text(i - 1) == ".":
+                continue
+            j = i + 1
+            while j < len(self.tokens) and self.text(j) not in ("{", ";", "=", ":", ","):
+                if self.text(j) == "<" and (end := self.angles(j)):
+                    j = end
+                elif self.text(j) in OPEN and j in self.match:
+                    j = self.match[j] + 1
+                else:
+                    j += 1
+                if self.text(j) == "," and j > i + 2:  # of several interfaces
+                    j += 1
+            if self.text(j) == "{":
+                out.add(j)
+        return out
+
     def class_body(self, i: int) -> bool:
-        """Whether a brace opens the body of a class."""
-        j = i - 1
-        for _ in range(60):
-            t = self.text(j)
-            if t == "class":
-                return self.text(j - 1) != "."
-            if t in (";", "{", "}", "=", "") or (t == ")" and self.text(j + 1) == "{"):
-                return False
-            j = self.match.get(j, j) - 1 if t in CLOSE else j - 1
-        return False
+        return i in self.class_bodies
 
     def object_literal(self, i: int) -> bool:
         t = self.text(i - 1)

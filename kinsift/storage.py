@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file, in UTF-8."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a table too small to give every core a split of its own, dealt out; a larger one as it is."""
     spark = df.sparkSession

@@ -33,8 +33,8 @@ def test_decision_table(spark, similarity, overlap, steps, verdict, domain):
 
 
 def test_snippets_chunks_imports_and_seeds(spark):
-    source = spark.createDataFrame(snippets.FILES, "path string, source string")
-    got = files.chunks(source).select("path", "kind", "start_line", "end_line", "has_error").collect()
+    source = spark.createDataFrame(snippets.SOURCES, "path string, source string")
+    got = files.chunks(source).select("path", "seq", "kind", "start_line", "end_line", "has_error").collect()
     assert sorted(map(tuple, got)) == sorted(snippets.EXPECTED)
     modules = {r.path: r.modules for r in files.chunks(source).collect()}
     assert modules["shop/cart.ts"] == ["model/item", "react", "shop/rate"] and modules["broken/half.ts"] is None
@@ -184,3 +184,27 @@ def test_streamed_verdicts_equal_batch(spark, tmp_path):
     stream = verdict_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), known)
     to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 9
+
+
+def test_wide_type_lists_and_generic_bases():
+    many = ", ".join(f"T{i}" for i in range(500))
+    source = f"class Wide extends Base<{many}> implements A<{{ x: number; y: string }}>, B {{\n  run() {{\n    return 1;\n  }}\n}}\nconst f = <{many}>(x: T0) => x;\nclass D<T = {{}}> extends mix({{ a: 1 }}) {{\n go(): void {{\n }}\n}}\nif (a) {{\n}}\n{{\n g()\n}}\n"
+    assert [(k, a, b, e) for _, k, a, b, _, e in typescript.chunks_of(source)] == [("method_definition", 2, 4, False), ("arrow_function", 6, 6, False), ("method_definition", 8, 9, False)]
+
+
+def test_only_searched_files_are_read(spark, folder):
+    assert files.source_paths(spark, folder) == sorted(SHAPES)
+    assert [r.path for r in files.read_files(spark, folder, ["day/long.ts", "gone.ts", "day/long.ts", ""]).collect()] == ["day/long.ts"]
+    assert files.read_files(spark, folder, []).collect() == []
+
+
+def test_pairs_are_whole_whatever_the_ids(spark):
+    rows = [(i * 7 % 101, ["a", "b", "c"][: i % 4], None if i % 5 == 0 else [f"m{i % 3}"], ["x"] * (i % 3)) for i in range(80)]
+    chunks = spark.createDataFrame([(i, t or None, m, d) for i, t, m, d in rows], "id long, tokens array<string>, modules array<string>, dirs array<string>")
+    got = {(r.id_a, r.id_b): (r[T.STRUCTURAL], r[T.IMPORTS], r[T.DISTANCE]) for r in pairs.all_pairs(chunks).collect()}
+    share = lambda a, b: None if not a or not b else len({*a} & {*b}) / len({*a} | {*b})
+    want = {(a[0], b[0]): (share(a[1], b[1]), share(a[2], b[2]), abs(len(a[3]) - len(b[3]))) for a in rows for b in rows if a[0] < b[0]}
+    assert got == want
+    for threshold in (0.0, 0.5, 0.85):
+        tally_of = {r.verdict: r.n for r in tally.histogram(pairs.verdict_pairs(chunks, threshold), "verdict").collect()}
+        assert {r.verdict: r.n for r in pairs.verdict_histogram(chunks, threshold).collect()} == tally_of

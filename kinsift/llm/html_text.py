@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, written
+from .common import map_batches, written
 from .url_filter import address
 
 #: Pages of a template: at least so many, and at least this share of a host's different pages; the largest share of a host's
@@ -287,11 +287,10 @@ def recurring_subtrees(rows: DataFrame, least: int, share: float, text_share: fl
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["host", "page", "key", "parent", "chars"])
 
-    found = map_batches(rows.select("host", "html", "page"), parsed, "host string, page long, key long, parent long, chars long")
+    found = written(map_batches(rows.select("host", "html", "page"), parsed, "host string, page long, key long, parent long, chars long"), "subtrees")
     # By source: different parents. By shape, and of the host itself: different pages.
     sources = found.filter("parent != 0").select("host", "key", "parent").distinct().groupBy("host", "key").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("chars"))
     shapes = found.filter("parent = 0").select("host", "key", "page", "chars").distinct().groupBy("host", "key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    shapes = cut(shapes)
     hosts = shapes.filter("key = 0").select("host", F.col("n").alias("pages"), F.col("chars").alias("host_chars"))
     many = F.col("n") >= F.greatest(F.lit(least), F.lit(share) * F.col("pages"))
     little = F.col("chars").isNull() | (F.col("chars") <= text_share * F.col("host_chars"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Numbers of a bucket, and buckets of a coarse one.
+BUCKET = 4096
+
 
 def histogram(rows: DataFrame, label: str) -> DataFrame:
     """(label, n), most first."""
@@ -34,11 +37,13 @@ def records_after(tallied: DataFrame, numbers: DataFrame) -> DataFrame:
     total = numbers.agg(F.count("*").alias("all"))
     marks = tallied.select(F.col("last_intervention").alias("number")).distinct().withColumn("is_mark", F.lit(1))
     both = numbers.select("number", F.lit(0).alias("is_mark")).unionByName(marks.select("number", "is_mark"))
-    # Rank within coarse buckets of the number, and a running sum over the few buckets.
-    bucket = both.withColumn("bucket", F.floor(F.col("number") / 4096))
+    # Rank within buckets of numbers, running sums over the buckets of a coarse one, and over the few coarse ones.
+    bucket = both.withColumn("bucket", F.floor(F.col("number") / BUCKET))
     own = Window.partitionBy("bucket").orderBy("number", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
     placed = bucket.withColumn("upto", F.sum(1 - F.col("is_mark")).over(own)).filter("is_mark = 1")
-    sums = bucket.groupBy("bucket").agg(F.sum(1 - F.col("is_mark")).alias("n"))
-    before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = bucket.groupBy("bucket").agg(F.sum(1 - F.col("is_mark")).alias("n")).withColumn("coarse", F.floor(F.col("bucket") / BUCKET))
+    coarse = sums.groupBy("coarse").agg(F.sum("n").alias("n"))
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.withColumn("fine", up_to(Window.partitionBy("coarse").orderBy("bucket"))).join(coarse.select("coarse", up_to(Window.orderBy("coarse")).alias("far")), "coarse").withColumn("before", F.col("fine") + F.col("far"))
     ranks = placed.join(before.select("bucket", "before"), "bucket").select("number", (F.col("before") + F.col("upto")).alias("not_after"))
     return tallied.join(ranks, tallied.last_intervention == ranks.number).crossJoin(F.broadcast(total)).select("tag", "recurrence", "total", (F.col("all") - F.col("not_after")).alias("records_after"), "last_intervention")

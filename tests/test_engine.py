@@ -156,6 +156,15 @@ def test_recurrence(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 1, 3, 3, 2), ("b", 2, 2, 5, 0)]
 
 
+def test_records_after_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(tally, "BUCKET", 3)
+    rows = [(n, f"t{n % 4}", n % 13 == 0) for n in range(1, 120) if n % 5]
+    frame = spark.createDataFrame(rows, "pr long, tag string, fixed boolean")
+    got = tally.records_after(tally.recurrence(frame, "tag", "pr", F.col("fixed")), frame.select(F.col("pr").alias("number")).distinct())
+    last = {t: max((n for n, x, f in rows if x == t and f), default=0) for _, t, _ in rows}
+    assert {r.tag: (r.last_intervention, r.records_after) for r in got.collect()} == {t: (n, sum(m > n for m, _, _ in rows)) for t, n in last.items()}
+
+
 @pytest.mark.parametrize(("line", "seed"), [("function f() {", True), ("  method(a: T): U {  ", True), ("} else if (x) {", False), ("if (x) {", False), ("iffy(x) {", True), ("class A {", False), (") => {", False), ("for(;;) {", False), ("return x;", False)])
 def test_seed_lines(spark, line, seed):
     assert spark.createDataFrame([(line,)], "t string").select(is_seed(F.col("t")).alias("x")).first().x is seed

@@ -52,6 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    discard(spark, spark.sparkContext.getCheckpointDir(), at_exit=True)  # a folder that Spark made for this application
     return df.checkpoint()
 
 

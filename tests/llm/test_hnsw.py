@@ -83,3 +83,32 @@ def test_shards_in_bundles_are_merged(spark):
     want = exact([r for r in rows if r[0] != 20])
     assert {q: [i for i, _ in x] for q, x in whole.items()} == {q: [i for i, _ in x] for q, x in parts.items()}
     assert whole.keys() == want.keys()
+
+
+def test_wide_vectors_make_smaller_shards(spark, monkeypatch):
+    assert hnsw.shard_size(64, hnsw.SHARD_ROWS) == hnsw.SHARD_ROWS and hnsw.shard_size(4096, hnsw.SHARD_ROWS) == hnsw.SHARD_BYTES // (8 * 4096)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 100 * 8 * 1536)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=1536).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    graphs = hnsw.index(hnsw.participants(table, "vec_id", "embedding"), 20, hnsw.SHARD_ROWS).selectExpr("octet_length(vectors) AS n").collect()
+    assert len(graphs) == 3 and max(r.n for r in graphs) < 1.5 * hnsw.SHARD_BYTES
+    got, want = found(hnsw.search_query(table)), exact([(i, np.float32(v).astype(float).tolist()) for i, v in rows])
+    right = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert got.keys() == want.keys() and right >= 0.95 * 20 * len(want)
+
+
+def test_clusters_and_few_vectors_are_reached():
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 16)) * 20
+    v = np.concatenate([c + rng.normal(size=(60, 16)) for c in centres])
+    graph = hnsw.Graph.build(v[rng.permutation(len(v))])
+    vectors = graph.data[:, :16].astype(float)
+    got = graph.search(vectors[::7], 21, 96)
+    want = np.argsort(-(vectors[::7] @ vectors.T), axis=1)[:, :21]
+    assert np.mean([len({*a} & {*b}) / 21 for a, b in zip(got.tolist(), want.tolist(), strict=True)]) >= 0.95
+    for n in (1, 2, 3, 25):
+        small = hnsw.Graph.build(v[:n])
+        assert sorted(small.search(v[:1], 30, 96)[0].tolist()) == [-1] * (30 - n) + list(range(n))
+        again = hnsw.Graph.of(v[:n], *small.flat().values())
+        assert (again.search(v[:1], 30, 96) == small.search(v[:1], 30, 96)).all()

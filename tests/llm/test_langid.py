@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -121,3 +122,13 @@ def test_nothing_to_learn_from_and_empty(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.predictions(docs).collect()] == [("und", 0.0)]
     assert langid.predictions(docs.filter("false")).collect() == []
+
+
+def test_a_very_long_text_is_scored_in_bounded_memory():
+    model = langid.Ppm({"aa": {int.from_bytes(b"\x01" + bytes([c]), "big"): 5 for c in b"abcdefgh"}})
+    text = b"abcdefgh" * 600_000
+    tracemalloc.start()
+    bits = model.lengths([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and np.isclose(bits[0, 0], len(text) * (math.log2(48) - math.log2(5)))

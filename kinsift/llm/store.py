@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CACHED_LENGTH, FAR_LETTERS, default_tokenizer
+from .bpe import CACHED_LENGTH, ENTRY_BYTES, FAR_LETTERS, default_tokenizer
 from .common import discard, hot_keys, map_batches, map_iterator, salted, shared_folder, worker_state
 
 END_ID = 1
@@ -43,8 +44,8 @@ END_ID = 1
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 #: Ids of a part of the recipes.
 PART_IDS = 1 << 28
-#: Cached pieces of a Python worker's younger and older half.
-CACHED_PIECES = 400_000
+#: Bytes that the younger half of a Python worker's cached pieces may take; the older half was a younger one.
+CACHED_BYTES = 60 << 20
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Reversed polynomial of CRC-32.
@@ -57,11 +58,13 @@ class Encoder:
     comma or full stop behind one is a word of its own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.cached = CACHED_BYTES // ENTRY_BYTES
         vocab = self.library.get_vocab(with_added_tokens=True)
         end = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(1 + max(vocab.values()), bool)
@@ -70,7 +73,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED_PIECES:
+        if len(self.cache) > self.cached:
             self.older, self.cache = self.cache, {"": b""}
         known, older = self.cache, self.older
         words: dict[str, str] = {}  # pieces of one word of letters, and what is looked up for them

@@ -45,7 +45,7 @@ WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 #: Ids of a part of the recipes.
 PART_IDS = 1 << 28
 #: Bytes that the younger half of a Python worker's cached pieces may take; the older half was a younger one.
-CACHED_BYTES = 60 << 20
+CACHED_BYTES = 80 << 20
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Reversed polynomial of CRC-32.

@@ -28,8 +28,8 @@ def test_run_equals_brute_force(spark, sf):
 
 def test_stages_keep_the_columns_and_stand_nulls(spark, sf):
     rows = [(1, None, None, None, None, "x"), (None, "the and of the " * 9, "en", "s", 3, "y"), (2, "", "en", "s", 0, None), (3, "the then there\nthe then there", "en", "s", 9, "z"), (3, "the then there\nthe then there", "en", "s", 9, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __gone string")
-    docs = docs.withColumnRenamed("__gone", "score")
+    extra = ["score", "__gone", "__rank", "__spans", "row", "hash", "fp", "known", "n_words", "salt"]
+    docs = spark.createDataFrame([(*r[:5], *[f"{r[5]}{x}" for x in extra]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name

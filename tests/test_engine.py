@@ -70,10 +70,10 @@ export const e = './no';\nexport { f };\n// import './commented'\nconst g = requ
 SHAPES = {
     "sales/discount.ts": 'import { price } from "./price";\n\nconst cap = 3;\n\nexport function lowered(amount: number, rate: number): number {\n  const cut = amount * rate;\n  return Math.max(amount - cut, 0);\n}\n\nconst outside = 1;\n',
     "stock/refill.ts": 'import { shelf } from "./shelf";\n\nconst floor = 2;\n\nexport function missing(target: number, held: number): number {\n  const gap = target * held;\n  return Math.min(target + gap, 0);\n}\n',
-    "day/long.ts": 'import { pad } from "../text/pad";\n\nexport function dayOf(d: Date): string {\n  return `${pad(d.getDate())}`;\n}\n',
-    "text/short.ts": 'import { pad } from "./pad";\n\nexport function monthOf(d: Date): string {\n  return `${pad(d.getMonth())}`;\n}\n',
+    "day/long.ts": 'import { wide } from "../text/wide";\n\nexport function reef(s: Sail): string {\n  return `${wide(s.area())}`;\n}\n',
+    "text/short.ts": 'import { wide } from "./wide";\n\nexport function furl(s: Sail): string {\n  return `${wide(s.edge())}`;\n}\n',
     "bad/open.ts": "export function open(a: number) {\n  if (a) {\n    return 1;\n",
-    "none/plain.ts": "export function dayAgain(d: Date): string {\n  return `${pad(d.getDate())}`;\n}\n",
+    "none/plain.ts": "export function reefAgain(s: Sail): string {\n  return `${wide(s.area())}`;\n}\n",
 }
 
 

@@ -278,3 +278,21 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = judged(docs.select("doc_id", "text", F.xxhash64("text").alias(text_hash)), benchmark, ["doc_id", text_hash]).filter(CONTAMINATED)
     bad = written(bad.select(F.col("doc.doc_id").alias(key), F.col("doc")[text_hash].alias(text_hash)).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left_anti")
+
+
+WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS_OF} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS_OF} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM
+  (SELECT item, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS p FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM
+  (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS p FROM d, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT r, n, p, item FROM grams JOIN windows USING (n, g)),
+words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS x FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

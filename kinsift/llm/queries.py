@@ -29,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
     "op3_line_dedup": linededup.SQL,
+    "op8_decontamination": decontaminate.SQL,
 }

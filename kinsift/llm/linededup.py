@@ -10,12 +10,12 @@ before.
 2. Lines within one edit of each other agree on the first or on the last half of their characters (of length // 2 or
    (length - 1) // 2). Distinct lines are grouped by hashes of these halves; a line that shares none of them with another
    can't have a neighbour. That loses none, and leaves few lines.
-3. The same again, finer, for those: of up to 16 segments, two lines within one edit agree outside one. Those that share all but a
+3. The same again, finer, for those: of up to 16 segments (more in very long lines), two lines within one edit agree outside one. Those that share all but a
    segment with another emit the deletion neighbourhood of that segment: itself and every variant with one character left
    out, as keys hashed with what is outside. Lines of an equal variant that left out the same place differ in one replaced
    character; a line that equals another's variant lacks one character of it. Each line meets only the earliest line of
    each such group, not all of its pairs.
-4. The texts of the pairs so found are compared by edit distance.
+4. The texts of the pairs so found are compared: outside the segment they must be equal, inside it edit distance decides.
 5. A line that stays is one distinct line at its earliest place, so documents are put together from the table of distinct
    lines; the documents' own texts are never moved.
 
@@ -91,13 +91,14 @@ def bucketed(df: DataFrame) -> DataFrame:
 
 def segment_codes(own: Column) -> Column:
     """A code for each piece of a line of `own` characters: twice the segment's number, and one more for the line's part as the
-    longer of two. There is a segment for SEGMENT_CHARS characters, one at least and SEGMENTS at most."""
+    longer of two. There is a segment for SEGMENT_CHARS characters, one at least and SEGMENTS at most; but in very long lines
+    the cube root of their length, which keeps the hashing of pieces and that of variants in balance."""
     of = lambda n, turn: F.transform(F.sequence(F.lit(0), segment_count(n) - 1), lambda j: 2 * j + turn)
     return F.concat(of(own, 0), of(own - 1, 1))
 
 
 def segment_count(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), F.floor(n / SEGMENT_CHARS).cast("int")))
+    return F.greatest(F.lit(1), F.least(F.lit(SEGMENTS), F.floor(n / SEGMENT_CHARS).cast("int")), F.floor(F.cbrt(n)).cast("int"))
 
 
 def pieces_of(lines: DataFrame) -> DataFrame:
@@ -130,22 +131,26 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     variant = lambda i: F.struct(F.when(F.col("longer"), F.lit(LONGER)).otherwise(i).alias("left_out"), F.xxhash64("segment", F.concat(F.left("middle", i - 1), F.substr("middle", i + 1, n))).alias("variant"))
     itself = F.when(~F.col("longer"), F.array(F.struct(F.lit(0).alias("left_out"), F.xxhash64("segment", "middle").alias("variant")))).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
     without = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), variant)).otherwise(F.array().cast("array<struct<left_out: int, variant: bigint>>"))
-    emitted = cut(pieces.select("key", "place", F.explode(F.concat(itself, without)).alias("v")).select("key", "place", "v.*").distinct())
+    of = ["n", "from", "rest"]  # the segment that a variant is of, for the comparison of texts
+    emitted = cut(pieces.select("key", "place", *of, F.explode(F.concat(itself, without)).alias("v")).select("key", "place", *of, "v.*").distinct())
     free_shuffles(spark)
     member = F.struct("place", "key")
     # A replaced character: the same place left out.
     replaced = emitted.filter("left_out > 0").groupBy("variant", "left_out").agg(F.min(member).alias("one"), F.max(member).alias("other")).filter("one != other")
-    by_replacing = emitted.join(replaced.select("variant", "left_out", "one"), ["variant", "left_out"]).select("key", "place", "one")
+    by_replacing = emitted.join(replaced.select("variant", "left_out", "one"), ["variant", "left_out"]).select("key", "place", "one", *of)
     # A missing character: one line is the variant itself. The earliest of the longer ones, and the line itself, speak for all.
-    whole = emitted.filter("left_out = 0").groupBy("variant").agg(F.min(member).alias("whole"))
+    whole = emitted.filter("left_out = 0").groupBy("variant", *of).agg(F.min(member).alias("whole"))
     longer = emitted.filter(F.col("left_out") == LONGER).groupBy("variant").agg(F.min(member).alias("longer"))
     both = whole.join(longer, "variant")
-    shorter_goes = both.select(F.col("whole.key").alias("key"), F.col("whole.place").alias("place"), F.col("longer").alias("one"))
-    longer_go = emitted.filter(F.col("left_out") == LONGER).join(both.select("variant", F.col("whole").alias("one")), "variant").select("key", "place", "one")
-    found = by_replacing.unionByName(shorter_goes).unionByName(longer_go).filter("one.place < place").select("key", F.col("one.key").alias("earlier")).distinct()
+    shorter_goes = both.select(F.col("whole.key").alias("key"), F.col("whole.place").alias("place"), F.col("longer").alias("one"), *of)
+    longer_go = emitted.filter(F.col("left_out") == LONGER).join(both.select("variant", F.col("whole").alias("one")), "variant").select("key", "place", "one", *of)
+    found = by_replacing.unionByName(shorter_goes).unionByName(longer_go).filter("one.place < place").select("key", F.col("one.key").alias("earlier"), "from", "rest").distinct()
     text = lambda as_: lines.select(F.col("key").alias(as_), F.col("line").alias(f"{as_}_line"))
-    verified = found.join(text("key"), "key").join(text("earlier"), "earlier").filter((F.levenshtein("key_line", "earlier_line", 1) >= 0) & (F.col("key_line") != F.col("earlier_line")))
-    verified = cut(verified.select("key", "earlier"))
+    inside = lambda c: F.substr(c, F.col("from") + 1, F.char_length(c) - F.col("from") - F.col("rest"))
+    outside = (F.left("key_line", "from") == F.left("earlier_line", "from")) & (F.right("key_line", "rest") == F.right("earlier_line", "rest"))
+    within = F.levenshtein(inside("key_line"), inside("earlier_line"), 1) >= 0
+    verified = found.join(text("key"), "key").join(text("earlier"), "earlier").filter(outside & within & (F.col("key_line") != F.col("earlier_line")))
+    verified = cut(verified.select("key", "earlier").distinct())
     free_shuffles(spark)
     return verified
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from kinsift.llm import linededup as L
 
@@ -58,6 +59,15 @@ def test_edge_rows(spark):
     assert out.columns == docs.columns and set(rest) == {3, 1, 2, 5, None, 8} and rest[8].n_chars == 4 and rest[8].n_lines == "k" and rest[8].hash == "y"
 
 
+def test_very_long_lines(spark):
+    long = "".join(f"{i:x} " for i in range(200_000))
+    other = long[:500_000] + "#" + long[500_001:]
+    docs = spark.createDataFrame([(1, long), (2, other), (3, long[:700_000] + long[700_001:]), (4, long + "and two"), (5, other[::-1])], "doc_id long, text string")
+    start = time.perf_counter()
+    assert {r.doc_id: r.n_kept for r in L.deduplicated(docs).collect()} == {1: 1, 2: 0, 3: 0, 4: 1, 5: 1}
+    assert time.perf_counter() - start < 120
+
+
 def test_repeated_ids_and_empty(spark):
     docs = spark.createDataFrame([(1, "first line"), (1, "other words"), (1, "other words"), (2, "other words\n\nmore"), (2, "other words\n\nmore"), (3, None), (3, None), (None, "null id"), (None, "null id")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.text or "", r.n_kept) for r in L.deduplicated(docs).collect()))

@@ -1,7 +1,9 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,3 +93,19 @@ def test_the_streamed_tree_is_the_tree():
     for n in range(70):
         leaves = [bytes([i]) * 3 for i in range(n)]
         assert store.merkle(leaves) == by_levels(leaves)
+
+
+def test_pieces_as_bytes_equal_the_library(monkeypatch):
+    monkeypatch.setattr(store, "GROUP", 3000)
+    monkeypatch.setattr(store, "PIECE", 64)
+    rng, alphabet = random.Random(3), "aB,.é'ßİ0 \n-ŉǅ語́ﬁ𝔸ªº\tx<|>"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["w" * 60 + ",", "W" * 60, ".,", ",", ".", "a.", "A,", "É.", "<|endoftext|> <|ENDOFTEXT|> <|EndOfText|>x A<B a<b", "<|startoftext|>,", "", "x" * 10_000, " \n "]
+    texts += [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(400)) for _ in range(20)]
+    encoder = store.Encoder(default_tokenizer())
+    encoder.table = store.Table(6)  # it grows, and is emptied
+    for _ in range(2):
+        for i in range(0, len(texts), 100):
+            got = encoder.encode(pa.array(texts[i : i + 100]))
+            assert [x.tolist() for x in got] == [e.ids for e in LIBRARY.encode_batch(texts[i : i + 100], add_special_tokens=False)]
+    assert encoder.encode(pa.array([], pa.string())) == []

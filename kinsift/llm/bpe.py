@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import map_batches, worker_state
+from .pieces import Pieces
 
 NONE = np.int64(2**62)
 #: Odd multiplier of the table of pairs.
@@ -31,11 +33,6 @@ SPREAD = np.int64(0x1E3779B97F4A7C15)
 WIDEST = 64
 #: From here on, versions of Unicode differ about letters, marks and their order.
 FAR_LETTERS = "\u0250"
-#: Bytes that the younger half of a Python worker's cached words may take, and the longest length of such a word. The older
-#: half was a younger one, so both take at most twice that.
-CACHED_BYTES, CACHED_LENGTH = 16 << 20, 48
-#: Bytes of an entry besides its characters and ids: two objects and a slot.
-ENTRY_BYTES = 200
 
 
 def byte_characters() -> list[str]:
@@ -45,7 +42,7 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class Bpe:
+class Bpe(Pieces):
     """A tokenizer file with the stages NFC, white space, lower case; a split by a pattern; byte-level BPE with word ends."""
 
     def __init__(self, path: str):
@@ -82,12 +79,10 @@ class Bpe:
                 at = (at + 1) % len(self.table_keys)
             self.table_keys[at], self.table_ranks[at] = key, rank
         self.one = {k: v[0] for k, v in ranks.items()}
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cached = CACHED_BYTES // ENTRY_BYTES
         self.byte_of = {c: b for b, c in enumerate(characters)}
         stages = Tokenizer.from_file(path)
         self.normal, self.pre = stages.normalizer, stages.pre_tokenizer
+        super().__init__()
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray, width: int, slot: np.ndarray) -> np.ndarray:
         """Leaves of the pairs (a, b) in the slots; b is -1 where a is the last symbol."""
@@ -225,28 +220,14 @@ class Bpe:
                 out += [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(part))]
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of whole texts."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.cached:
-            self.older, self.cache = self.cache, {}
-        known, older = self.cache, self.older
-        parts = {}
-        for p in set().union(*cut).difference(known) if cut else ():
-            if (ids := older.get(p)) is None:
-                parts[p] = self.split(p)
-            else:
-                known[p] = ids
-        # A word of letters is a piece of its own too.
-        ids = {w: known.get(w) if w.isalpha() else None for ws in parts.values() for w in ws if isinstance(w, str)}
-        words = [w for w, x in ids.items() if x is None]
-        ids |= zip(words, self.merge([w.encode() for w in words]), strict=True)
-        rare = {}
-        for p, ws in parts.items():
-            (known if len(p) <= CACHED_LENGTH else rare)[p] = ids[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws])
-        if rare:
-            return [np.frombuffer(b"".join([x if (x := known.get(p)) is not None else rare[p] for p in pieces]), "<u4") for pieces in cut]
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]
+    def ids_of_words(self, words: Sequence[str]) -> list[bytes]:
+        return self.merge([w.encode() for w in words])
+
+    def ids_of_pieces(self, pieces: Sequence[str]) -> list[bytes]:
+        parts = [self.split(p) for p in pieces]
+        words = list({w for ws in parts for w in ws if isinstance(w, str)})
+        ids = dict(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        return [b"".join([ids[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in ws]) for ws in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of the ids, joined by blanks: what a file without a decoder stage prescribes."""
@@ -272,7 +253,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(path)
-        ids = bpe.encode_batch(["" if t is None else t for t in batch.column(1).to_pylist()])
+        ids = bpe.encode(batch.column(1).fill_null(""))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
         flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], [id_col, "ids", "decoded"])
@@ -286,7 +267,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFra
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(path)
-        ids = bpe.encode_batch(["" if t is None else t for t in batch.column(1).to_pylist()])
+        ids = bpe.encode(batch.column(1).fill_null(""))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kinsift.llm import common, store
+from kinsift.llm import common, pieces, store
 from kinsift.llm.bpe import default_tokenizer
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
@@ -96,14 +96,14 @@ def test_the_streamed_tree_is_the_tree():
 
 
 def test_pieces_as_bytes_equal_the_library(monkeypatch):
-    monkeypatch.setattr(store, "GROUP", 3000)
-    monkeypatch.setattr(store, "PIECE", 64)
+    monkeypatch.setattr(pieces, "GROUP", 3000)
+    monkeypatch.setattr(pieces, "PIECE", 64)
     rng, alphabet = random.Random(3), "aB,.é'ßİ0 \n-ŉǅ語́ﬁ𝔸ªº\tx<|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     texts += ["w" * 60 + ",", "W" * 60, ".,", ",", ".", "a.", "A,", "É.", "<|endoftext|> <|ENDOFTEXT|> <|EndOfText|>x A<B a<b", "<|startoftext|>,", "", "x" * 10_000, " \n "]
     texts += [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(400)) for _ in range(20)]
     encoder = store.Encoder(default_tokenizer())
-    encoder.table = store.Table(6)  # it grows, and is emptied
+    encoder.table = pieces.Table(6)  # it grows, and is emptied
     for _ in range(2):
         for i in range(0, len(texts), 100):
             got = encoder.encode(pa.array(texts[i : i + 100]))

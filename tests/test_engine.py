@@ -217,3 +217,57 @@ def test_pairs_are_whole_whatever_the_ids(spark):
     for threshold in (0.0, 0.5, 0.85):
         tally_of = {r.verdict: r.n for r in tally.histogram(pairs.verdict_pairs(chunks, threshold), "verdict").collect()}
         assert {r.verdict: r.n for r in pairs.verdict_histogram(chunks, threshold).collect()} == tally_of
+
+
+KIND = "id long, tokens array<string>, modules array<string>, dirs array<string>"
+
+
+def odd_chunks(spark):
+    """Chunks with every feature missing somewhere, deep directories, and directories below each other."""
+    deep = [None, [], ["h"], ["h", "a"], ["h", "a", "b"], list("habcde"), list("habcdf"), list("habcdefg"), list("habxde"), list("zabcde")]
+    rows = [(i, ["a", "b", "c", "d", "e"][: i % 6] or None, None if i % 5 == 0 else [f"m{i % 3}", "n"], deep[i % 10]) for i in range(70)]
+    return rows, spark.createDataFrame(rows, KIND)
+
+
+def signals_by_hand(a, b):
+    share = lambda x, y: None if x is None or y is None else len({*x} & {*y}) / len({*x} | {*y})
+    same = next((i for i, (x, y) in enumerate(zip(a[3] or [], b[3] or [], strict=False)) if x != y), min(len(a[3] or []), len(b[3] or [])))
+    return share(a[1], b[1]), share(a[2], b[2]), None if a[3] is None or b[3] is None else len(a[3]) + len(b[3]) - 2 * same
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_pairs_of_odd_chunks_looked_up_or_measured_in_place(spark, monkeypatch, limit):
+    monkeypatch.setattr(pairs, "BROADCAST_PAIRS", limit)
+    rows, chunks = odd_chunks(spark)
+    got = {(r.id_a, r.id_b): (r[T.STRUCTURAL], r[T.IMPORTS], r[T.DISTANCE]) for r in pairs.all_pairs(chunks).collect()}
+    assert got == {(a[0], b[0]): signals_by_hand(a, b) for a in rows for b in rows if a[0] < b[0]}
+
+
+@pytest.mark.parametrize("name", ["lean_columns", "module_distance", "pair_signals", "verdict_low_threshold", "verdict_pairs", "report_text", "domain_column", "import_overlap", "reasons_exploded"])
+def test_pairs_go_through_no_shuffle(spark, sf, monkeypatch, name):
+    import re
+
+    from kinsift.plans.queries import QUERIES
+
+    monkeypatch.setattr(pairs, "BROADCAST_PAIRS", 0)
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    joined = min(m.start() for m in re.finditer(r"cell_a#\d+L?\], \[cell_b", plan))
+    assert "Exchange" not in plan[:joined] and plan.count("SortMergeJoin") == 1
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.85])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tallies_of_odd_chunks(spark, threshold, repeated):
+    rows, _ = odd_chunks(spark)
+    rows += [(None, ["a"], ["n"], ["h"])] + [(3, ["a", "b"], ["n"], ["h"])] * repeated
+    chunks = spark.createDataFrame(rows, KIND)
+    told = classify(pairs.all_pairs(chunks), threshold)
+    n = sum(a[0] < b[0] for a in rows for b in rows if None not in (a[0], b[0]))
+    assert told.count() == n
+    want = {(r.u, r.import_lean, r.domain, r.verdict): r["count"] for r in told.groupBy(F.col(T.IMPORTS).isNull().alias("u"), "import_lean", "domain", "verdict").count().collect()}
+    assert {(r.unmeasured, r.import_lean, r.domain, r.verdict): r.n for r in pairs.tally(chunks, threshold).collect()} == want
+    by_verdict = {r.verdict: r["count"] for r in told.groupBy("verdict").count().collect()}
+    assert {r.verdict: r.n for r in pairs.verdict_histogram(chunks, threshold).collect()} == by_verdict
+    shown = lambda s: F.round(s, 2).cast("string")
+    want = {r.x: r["count"] for r in told.groupBy(shown(F.col(T.STRUCTURAL)).alias("x")).count().collect()}
+    assert {r.shown: r.n for r in pairs.similarity_tally(chunks, shown).collect()} == want and None in want

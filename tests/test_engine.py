@@ -255,6 +255,26 @@ def test_pairs_go_through_no_shuffle(spark, sf, monkeypatch, name):
     assert "Exchange" not in plan[:joined] and plan.count("SortMergeJoin") == 1
 
 
+def test_written_pairs_take_little_room(spark, tmp_path):
+    """A row b meets rows a in an order in which values repeat: a byte for each pair is more than all columns take."""
+    words = list("abcdefghij")
+    rows = [(i * 7919 % 2003, [w for k, w in enumerate(words) if (i * 31 % 97 + 1) >> (k % 7) & 1 or k == i % 3], [f"m{i * 13 % 60}", f"n{i % 7}"], [f"h{i % 40}", "d"]) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, KIND)
+    pairs.all_pairs(chunks).write.parquet(f"{tmp_path}/pairs")
+    written = spark.read.parquet(f"{tmp_path}/pairs")
+    n = len(rows) * (len(rows) - 1) // 2
+    assert written.count() == written.select("id_a", "id_b").distinct().count() == n and written.filter("id_a >= id_b").count() == 0
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < n
+
+
+def test_rows_are_dealt_out_once_for_each_block(spark):
+    """Twice for each before; ids that repeat or are NULL make no pairs of their own."""
+    chunks = spark.createDataFrame([(i // 2 if i % 11 else None,) for i in range(700)], "id long")
+    got = sorted((r.id_a, r.id_b) for r in pairs.paired(chunks).collect())
+    ids = [i // 2 for i in range(700) if i % 11]
+    assert got == sorted((a, b) for a in ids for b in ids if a < b)
+
+
 @pytest.mark.parametrize("threshold", [0.0, 0.5, 0.85])
 @pytest.mark.parametrize("repeated", [False, True])
 def test_tallies_of_odd_chunks(spark, threshold, repeated):

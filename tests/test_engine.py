@@ -299,3 +299,14 @@ def test_unmeasured_similarity_is_shown_as_null(spark, tmp_path):
     rows = [(i, "http://a/b/c", html) for i, html in enumerate(["x y", "x 1", None, "// no token", "x z"])]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.shown: r.n for r in similarity_display(spark, str(tmp_path)).collect()} == {"1.00": 1, "0.50": 2, None: 7}
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_report_texts_are_made_where_similarities_are_looked_up(spark, sf, monkeypatch, limit):
+    from kinsift.plans.queries import QUERIES
+
+    monkeypatch.setattr(pairs, "BROADCAST_PAIRS", limit)
+    told = QUERIES["report_text"](spark, sf)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert ("format_string" in plan) == (limit == 0)
+    assert told.filter("report is null").count() == 0

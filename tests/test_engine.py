@@ -310,3 +310,11 @@ def test_report_texts_are_made_where_similarities_are_looked_up(spark, sf, monke
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert ("format_string" in plan) == (limit == 0)
     assert told.filter("report is null").count() == 0
+
+
+def test_reasons_make_no_structs_for_each_pair(spark, sf):
+    from kinsift.plans.queries import QUERIES
+
+    told = QUERIES["reasons_exploded"](spark, sf)
+    assert "posexplode" not in told._jdf.queryExecution().executedPlan().toString()
+    assert dict(told.dtypes) == {"id_a": "bigint", "id_b": "bigint", "pos": "bigint", "signal": "string", "value": "double", "lean": "string"}
